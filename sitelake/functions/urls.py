@@ -83,21 +83,27 @@ def run_date(ts, tz: str = "Asia/Kolkata") -> Column:
 # ---------------------------------------------------------------------------
 # resolve_url(base, href) with the rules of urllib.parse.urljoin
 # ---------------------------------------------------------------------------
+# Built as staged projections: each URL component is a named column computed
+# once, later stages refer to it by name. (A single nested expression would copy
+# shared sub-expressions into every use and grow combinatorially.)
 
-def _split(u: Column):
-    """(has_scheme, scheme, has_netloc, netloc, path, query, fragment) of a URL."""
+def _split_stages(p: str, u: Column) -> list[list[tuple[str, Column]]]:
+    """Stages adding columns {p}_hs, {p}_scheme, {p}_hn, {p}_net, {p}_path, {p}_query, {p}_frag."""
+    c = lambda n: F.col(f"{p}_{n}")
     # leading C0 controls / spaces are ignored and tab, CR, LF removed, as urlsplit does
-    u = F.regexp_replace(F.regexp_replace(u, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    has_scheme = u.rlike("^" + SCHEME + ":")
-    scheme = F.lower(F.regexp_extract(u, "^(" + SCHEME + "):", 1))
-    rest = F.when(has_scheme, F.regexp_extract(u, "^" + SCHEME + ":(.*)$", 1)).otherwise(u)
-    has_netloc = rest.startswith("//")
-    net = F.when(has_netloc, F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(F.lit(""))
-    after = F.when(has_netloc, F.regexp_extract(rest, r"^//[^/?#]*(.*)$", 1)).otherwise(rest)
-    path = F.regexp_extract(after, r"^([^?#]*)", 1)
-    query = F.regexp_extract(after, r"^[^?#]*\?([^#]*)", 1)
-    frag = F.regexp_extract(after, r"^[^#]*#(.*)$", 1)
-    return has_scheme, scheme, has_netloc, net, path, query, frag
+    clean = F.regexp_replace(F.regexp_replace(u, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    return [
+        [(f"{p}_u", clean)],
+        [(f"{p}_hs", c("u").rlike("^" + SCHEME + ":")),
+         (f"{p}_scheme", F.lower(F.regexp_extract(c("u"), "^(" + SCHEME + "):", 1))),
+         (f"{p}_rest", F.regexp_extract(c("u"), "^(?:" + SCHEME + ":)?(.*)$", 1))],
+        [(f"{p}_hn", c("rest").startswith("//")),
+         (f"{p}_net", F.regexp_extract(c("rest"), r"^//([^/?#]*)", 1)),
+         (f"{p}_after", F.regexp_extract(c("rest"), r"^(?://[^/?#]*)?(.*)$", 1))],
+        [(f"{p}_path", F.regexp_extract(c("after"), r"^([^?#]*)", 1)),
+         (f"{p}_query", F.regexp_extract(c("after"), r"^[^?#]*\?([^#]*)", 1)),
+         (f"{p}_frag", F.regexp_extract(c("after"), r"^[^#]*#(.*)$", 1))],
+    ]
 
 
 def _unsplit(scheme: Column, net: Column, path: Column, query: Column, frag: Column) -> Column:
@@ -115,44 +121,60 @@ def _unsplit(scheme: Column, net: Column, path: Column, query: Column, frag: Col
     return F.when(frag != "", F.concat(out, F.lit("#"), frag)).otherwise(out)
 
 
-def _merge_path(bpath: Column, path: Column) -> Column:
-    """Merge a relative path onto the base path and remove '.' and '..' segments."""
-    bparts = F.split(bpath, "/")
-    bparts = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, 1, F.size(bparts) - 1)).otherwise(bparts)
-    rel = F.concat(bparts, F.split(path, "/"))
-    n = F.size(rel)
+def _pop_or_push(acc, s):
+    return (F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))))
+
+
+def _resolve_stages(base: Column, href: Column) -> list[list[tuple[str, Column]]]:
+    c = F.col
+    stages = [[("_rb", base), ("_rh", href)]]
+    sb, sh = _split_stages("_b", c("_rb")), _split_stages("_h", c("_rh"))
+    stages += [a + b for a, b in zip(sb, sh)]
+    stages.append([
+        ("_r_scheme", F.when(c("_h_hs"), c("_h_scheme")).otherwise(c("_b_scheme"))),
+        ("_r_bparts", F.split(c("_b_path"), "/")),
+    ])
+    stages.append([
+        ("_r_relative", (c("_r_scheme") == c("_b_scheme")) & c("_r_scheme").isin(USES_RELATIVE)),
+        ("_r_usenet", c("_r_scheme").isin(USES_NETLOC)),
+        ("_r_bdir", F.when(F.element_at(c("_r_bparts"), -1) != "",
+                           F.slice(c("_r_bparts"), 1, F.size(c("_r_bparts")) - 1)).otherwise(c("_r_bparts"))),
+    ])
+    stages.append([("_r_rel", F.concat(c("_r_bdir"), F.split(c("_h_path"), "/")))])
+    n = F.size(c("_r_rel"))
     # empty segments between the first and the last are dropped (no doubled slashes)
-    rel = F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != ""),
-                   F.slice(rel, F.greatest(n, F.lit(2)), 1))
-    segs = F.when(path.startswith("/"), F.split(path, "/")).otherwise(rel)
-    empty = F.array().cast("array<string>")
-    stack = F.aggregate(
-        segs, empty,
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    stack = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
-    joined = F.array_join(stack, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
-
-
-def resolve_url(base, href) -> Column:
-    """join ``href`` onto ``base`` (urljoin rules); null/empty base returns href."""
-    b, h = _c(base), _c(href)
-    _, bscheme, _, bnet, bpath, bquery, _ = _split(b)
-    hs, hscheme, hn, hnet, hpath, hquery, hfrag = _split(h)
-    scheme = F.when(hs, hscheme).otherwise(bscheme)
-    relative = (scheme == bscheme) & scheme.isin(USES_RELATIVE)
-    use_net = scheme.isin(USES_NETLOC)
-    with_net = _unsplit(scheme, hnet, hpath, hquery, hfrag)
-    net = F.when(use_net, bnet).otherwise(hnet)
-    no_path = _unsplit(scheme, net, bpath, F.when(hquery != "", hquery).otherwise(bquery), hfrag)
-    merged = _unsplit(scheme, net, _merge_path(bpath, hpath), hquery, hfrag)
-    joined = (
-        F.when(~relative, h)
-        .when(use_net & hn & (hnet != ""), with_net)
-        .when(hpath == "", no_path)
-        .otherwise(merged)
-    )
-    return F.when(b.isNull() | (b == ""), h).when(h.isNull() | (h == ""), b).otherwise(joined)
+    stages.append([("_r_segs", F.when(c("_h_path").startswith("/"), F.split(c("_h_path"), "/")).otherwise(
+        F.concat(F.slice(c("_r_rel"), 1, 1), F.filter(F.slice(c("_r_rel"), 2, F.greatest(n - 2, F.lit(0))), lambda s: s != ""),
+                 F.slice(c("_r_rel"), F.greatest(n, F.lit(2)), 1))))])
+    stack = F.aggregate(c("_r_segs"), F.array().cast("array<string>"), _pop_or_push)
+    stack = F.when(F.element_at(c("_r_segs"), -1).isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
+    stages.append([("_r_joined", F.array_join(stack, "/"))])
+    stages.append([
+        ("_r_mpath", F.when(c("_r_joined") == "", F.lit("/")).otherwise(c("_r_joined"))),
+        ("_r_net", F.when(c("_r_usenet"), c("_b_net")).otherwise(c("_h_net"))),
+    ])
+    with_net = _unsplit(c("_r_scheme"), c("_h_net"), c("_h_path"), c("_h_query"), c("_h_frag"))
+    no_path = _unsplit(c("_r_scheme"), c("_r_net"), c("_b_path"),
+                       F.when(c("_h_query") != "", c("_h_query")).otherwise(c("_b_query")), c("_h_frag"))
+    merged = _unsplit(c("_r_scheme"), c("_r_net"), c("_r_mpath"), c("_h_query"), c("_h_frag"))
+    joined = (F.when(~c("_r_relative"), c("_rh"))
+              .when(c("_r_usenet") & c("_h_hn") & (c("_h_net") != ""), with_net)
+              .when(c("_h_path") == "", no_path)
+              .otherwise(merged))
+    final = (F.when(c("_rb").isNull() | (c("_rb") == ""), c("_rh"))
+             .when(c("_rh").isNull() | (c("_rh") == ""), c("_rb")).otherwise(joined))
+    stages.append([("_r_out", final)])
+    return stages
+
+
+def with_resolved_url(df, base, href, out: str = "dst"):
+    """F5 as a DataFrame step: add column ``out`` = ``href`` joined onto ``base`` (urljoin rules).
+
+    A null or empty base returns href; an empty href returns base.
+    """
+    before = df.columns
+    for stage in _resolve_stages(_c(base), _c(href)):
+        df = df.withColumns(dict(stage))
+    return df.select(*[F.col(f"`{x}`") for x in before if x != out], F.col("_r_out").alias(out))
