@@ -83,89 +83,72 @@ def run_date(ts, tz: str = "Asia/Kolkata") -> Column:
 # ---------------------------------------------------------------------------
 # resolve_url(base, href) with the rules of urllib.parse.urljoin
 # ---------------------------------------------------------------------------
-# Built as staged projections: each URL component is a named column computed
-# once, later stages refer to it by name. (A single nested expression would copy
-# shared sub-expressions into every use and grow combinatorially.)
-
-def _split_stages(p: str, u: Column) -> list[list[tuple[str, Column]]]:
-    """Stages adding columns {p}_hs, {p}_scheme, {p}_hn, {p}_net, {p}_path, {p}_query, {p}_frag."""
-    c = lambda n: F.col(f"{p}_{n}")
-    # leading C0 controls / spaces are ignored and tab, CR, LF removed, as urlsplit does
-    clean = F.regexp_replace(F.regexp_replace(u, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+# Built as staged projections of SQL expressions: each URL component is a named
+# column computed once and later stages refer to it by name (one nested
+# expression would copy shared parts into every use). SQL text keeps plan
+# construction to one call per stage.
+
+def _sql_list(xs: list[str]) -> str:
+    return ", ".join("'" + x + "'" for x in xs)
+
+
+def _split_sql(p: str, src: str) -> list[list[str]]:
+    sch = SCHEME
     return [
-        [(f"{p}_u", clean)],
-        [(f"{p}_hs", c("u").rlike("^" + SCHEME + ":")),
-         (f"{p}_scheme", F.lower(F.regexp_extract(c("u"), "^(" + SCHEME + "):", 1))),
-         (f"{p}_rest", F.regexp_extract(c("u"), "^(?:" + SCHEME + ":)?(.*)$", 1))],
-        [(f"{p}_hn", c("rest").startswith("//")),
-         (f"{p}_net", F.regexp_extract(c("rest"), r"^//([^/?#]*)", 1)),
-         (f"{p}_after", F.regexp_extract(c("rest"), r"^(?://[^/?#]*)?(.*)$", 1))],
-        [(f"{p}_path", F.regexp_extract(c("after"), r"^([^?#]*)", 1)),
-         (f"{p}_query", F.regexp_extract(c("after"), r"^[^?#]*\?([^#]*)", 1)),
-         (f"{p}_frag", F.regexp_extract(c("after"), r"^[^#]*#(.*)$", 1))],
+        # leading C0 controls / spaces are ignored and tab, CR, LF removed, as urlsplit does
+        [f"regexp_replace(regexp_replace({src}, r'^[\\x00-\\x20]+', ''), r'[\\t\\r\\n]', '') AS {p}_u"],
+        [f"{p}_u RLIKE r'^{sch}:' AS {p}_hs",
+         f"lower(regexp_extract({p}_u, r'^({sch}):', 1)) AS {p}_scheme",
+         f"regexp_extract({p}_u, r'^(?:{sch}:)?(.*)$', 1) AS {p}_rest"],
+        [f"startswith({p}_rest, '//') AS {p}_hn",
+         f"regexp_extract({p}_rest, r'^//([^/?#]*)', 1) AS {p}_net",
+         f"regexp_extract({p}_rest, r'^(?://[^/?#]*)?(.*)$', 1) AS {p}_after"],
+        [f"regexp_extract({p}_after, r'^([^?#]*)', 1) AS {p}_path",
+         f"regexp_extract({p}_after, r'^[^?#]*\\?([^#]*)', 1) AS {p}_query",
+         f"regexp_extract({p}_after, r'^[^#]*#(.*)$', 1) AS {p}_frag"],
     ]
 
 
-def _unsplit(scheme: Column, net: Column, path: Column, query: Column, frag: Column) -> Column:
-    netloc_scheme = scheme.isin(USES_NETLOC)
-    body = (
-        F.when(net != "", F.concat(F.lit("//"), net,
-                                   F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path))
-                                   .otherwise(path)))
-        .when(path.startswith("//"), F.concat(F.lit("//"), path))
-        .when((scheme != "") & netloc_scheme & ((path == "") | path.startswith("/")), F.concat(F.lit("//"), path))
-        .otherwise(path)
+def _unsplit_sql(scheme: str, net: str, path: str, query: str, frag: str) -> str:
+    return (
+        f"CASE WHEN {scheme} <> '' THEN {scheme} || ':' ELSE '' END || "
+        f"CASE WHEN {net} <> '' THEN '//' || {net} || "
+        f"CASE WHEN {path} <> '' AND NOT startswith({path}, '/') THEN '/' || {path} ELSE {path} END "
+        f"WHEN startswith({path}, '//') THEN '//' || {path} "
+        f"WHEN {scheme} <> '' AND {scheme} IN ({_sql_list(USES_NETLOC)}) AND ({path} = '' OR startswith({path}, '/')) "
+        f"THEN '//' || {path} ELSE {path} END || "
+        f"CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END || "
+        f"CASE WHEN {frag} <> '' THEN '#' || {frag} ELSE '' END"
     )
-    out = F.when(scheme != "", F.concat(scheme, F.lit(":"), body)).otherwise(body)
-    out = F.when(query != "", F.concat(out, F.lit("?"), query)).otherwise(out)
-    return F.when(frag != "", F.concat(out, F.lit("#"), frag)).otherwise(out)
-
-
-def _pop_or_push(acc, s):
-    return (F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(s == ".", acc)
-            .otherwise(F.concat(acc, F.array(s))))
-
-
-def _resolve_stages(base: Column, href: Column) -> list[list[tuple[str, Column]]]:
-    c = F.col
-    stages = [[("_rb", base), ("_rh", href)]]
-    sb, sh = _split_stages("_b", c("_rb")), _split_stages("_h", c("_rh"))
-    stages += [a + b for a, b in zip(sb, sh)]
-    stages.append([
-        ("_r_scheme", F.when(c("_h_hs"), c("_h_scheme")).otherwise(c("_b_scheme"))),
-        ("_r_bparts", F.split(c("_b_path"), "/")),
-    ])
-    stages.append([
-        ("_r_relative", (c("_r_scheme") == c("_b_scheme")) & c("_r_scheme").isin(USES_RELATIVE)),
-        ("_r_usenet", c("_r_scheme").isin(USES_NETLOC)),
-        ("_r_bdir", F.when(F.element_at(c("_r_bparts"), -1) != "",
-                           F.slice(c("_r_bparts"), 1, F.size(c("_r_bparts")) - 1)).otherwise(c("_r_bparts"))),
-    ])
-    stages.append([("_r_rel", F.concat(c("_r_bdir"), F.split(c("_h_path"), "/")))])
-    n = F.size(c("_r_rel"))
-    # empty segments between the first and the last are dropped (no doubled slashes)
-    stages.append([("_r_segs", F.when(c("_h_path").startswith("/"), F.split(c("_h_path"), "/")).otherwise(
-        F.concat(F.slice(c("_r_rel"), 1, 1), F.filter(F.slice(c("_r_rel"), 2, F.greatest(n - 2, F.lit(0))), lambda s: s != ""),
-                 F.slice(c("_r_rel"), F.greatest(n, F.lit(2)), 1))))])
-    stack = F.aggregate(c("_r_segs"), F.array().cast("array<string>"), _pop_or_push)
-    stack = F.when(F.element_at(c("_r_segs"), -1).isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
-    stages.append([("_r_joined", F.array_join(stack, "/"))])
-    stages.append([
-        ("_r_mpath", F.when(c("_r_joined") == "", F.lit("/")).otherwise(c("_r_joined"))),
-        ("_r_net", F.when(c("_r_usenet"), c("_b_net")).otherwise(c("_h_net"))),
-    ])
-    with_net = _unsplit(c("_r_scheme"), c("_h_net"), c("_h_path"), c("_h_query"), c("_h_frag"))
-    no_path = _unsplit(c("_r_scheme"), c("_r_net"), c("_b_path"),
-                       F.when(c("_h_query") != "", c("_h_query")).otherwise(c("_b_query")), c("_h_frag"))
-    merged = _unsplit(c("_r_scheme"), c("_r_net"), c("_r_mpath"), c("_h_query"), c("_h_frag"))
-    joined = (F.when(~c("_r_relative"), c("_rh"))
-              .when(c("_r_usenet") & c("_h_hn") & (c("_h_net") != ""), with_net)
-              .when(c("_h_path") == "", no_path)
-              .otherwise(merged))
-    final = (F.when(c("_rb").isNull() | (c("_rb") == ""), c("_rh"))
-             .when(c("_rh").isNull() | (c("_rh") == ""), c("_rb")).otherwise(joined))
-    stages.append([("_r_out", final)])
+
+
+def _resolve_sql() -> list[list[str]]:
+    stages = [a + b for a, b in zip(_split_sql("_b", "_rb"), _split_sql("_h", "_rh"))]
+    stages += [
+        ["CASE WHEN _h_hs THEN _h_scheme ELSE _b_scheme END AS _r_scheme", "split(_b_path, '/') AS _r_bparts"],
+        [f"_r_scheme = _b_scheme AND _r_scheme IN ({_sql_list(USES_RELATIVE)}) AS _r_relative",
+         f"_r_scheme IN ({_sql_list(USES_NETLOC)}) AS _r_usenet",
+         "CASE WHEN try_element_at(_r_bparts, -1) <> '' THEN slice(_r_bparts, 1, size(_r_bparts) - 1) "
+         "ELSE _r_bparts END AS _r_bdir"],
+        ["concat(_r_bdir, split(_h_path, '/')) AS _r_rel"],
+        # empty segments between the first and the last are dropped (no doubled slashes)
+        ["CASE WHEN startswith(_h_path, '/') THEN split(_h_path, '/') ELSE concat(slice(_r_rel, 1, 1), "
+         "filter(slice(_r_rel, 2, greatest(size(_r_rel) - 2, 0)), s -> s <> ''), "
+         "slice(_r_rel, greatest(size(_r_rel), 2), 1)) END AS _r_segs"],
+        ["aggregate(_r_segs, cast(array() AS array<string>), (acc, s) -> CASE WHEN s = '..' "
+         "THEN slice(acc, 1, greatest(size(acc) - 1, 0)) WHEN s = '.' THEN acc ELSE concat(acc, array(s)) END) "
+         "AS _r_stack"],
+        ["array_join(CASE WHEN try_element_at(_r_segs, -1) IN ('.', '..') THEN concat(_r_stack, array('')) "
+         "ELSE _r_stack END, '/') AS _r_joined",
+         "_r_usenet AND _h_hn AND _h_net <> '' AS _r_withnet"],
+        ["CASE WHEN _r_withnet OR NOT _r_usenet THEN _h_net ELSE _b_net END AS _r_net",
+         "CASE WHEN _r_withnet THEN _h_path WHEN _h_path = '' THEN _b_path "
+         "WHEN _r_joined = '' THEN '/' ELSE _r_joined END AS _r_path",
+         "CASE WHEN NOT _r_withnet AND _h_path = '' AND _h_query = '' THEN _b_query ELSE _h_query END AS _r_query"],
+        [_unsplit_sql("_r_scheme", "_r_net", "_r_path", "_r_query", "_h_frag") + " AS _r_joined2"],
+        ["CASE WHEN _rb IS NULL OR _rb = '' THEN _rh WHEN _rh IS NULL OR _rh = '' THEN _rb "
+         "WHEN NOT _r_relative THEN _rh ELSE _r_joined2 END AS _r_out"],
+    ]
     return stages
 
 
@@ -175,6 +158,7 @@ def with_resolved_url(df, base, href, out: str = "dst"):
     A null or empty base returns href; an empty href returns base.
     """
     before = df.columns
-    for stage in _resolve_stages(_c(base), _c(href)):
-        df = df.withColumns(dict(stage))
+    df = df.withColumns({"_rb": _c(base), "_rh": _c(href)})
+    for stage in _resolve_sql():
+        df = df.selectExpr("*", *stage)
     return df.select(*[F.col(f"`{x}`") for x in before if x != out], F.col("_r_out").alias(out))
