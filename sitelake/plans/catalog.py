@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators.extract import extract_fields, selectors_frame
+from ..operators.frontier import crawl, synthetic_edges
 from ..operators.links import extract_links, first_occurrence, link_scope_lists
 from ..operators.listing import extract_listing_links
 from ..operators.shred import shred
@@ -108,6 +109,51 @@ def keyword_rank(spark, sf_dir):
     return r.select("page_id", F.col("rank").cast("long").alias("rank"), "dst", "score")
 
 
+# Crawl parameters of the reference: breadth (depth 20, 2 pages, internal), depth (depth 10,
+# 50 pages, internal), best-first (depth 3, 25 pages, external allowed, keyword scorer, weight 0.7).
+CRAWL_KEYWORDS = ["en", "blog", "page"]
+
+
+def _visits_out(v, *extra):
+    return v.select("seed_id", "url", F.col("depth").cast("long").alias("depth"), "parent",
+                    F.col("visit_order").cast("long").alias("visit_order"), "landed", *extra)
+
+
+def frontier_breadth(spark, sf_dir):
+    """G2 over the pages' own links, every page a seed (reference limits)."""
+    pages = _pages(spark, sf_dir)
+    nodes = shred(pages)
+    edges = extract_links(nodes).select("src", "dst", "pos")
+    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
+    v = crawl(edges, seeds, "breadth", max_depth=20, max_pages=2, include_external=False, pages=pages)
+    return _visits_out(v)
+
+
+def frontier_depths(spark, sf_dir):
+    """G2 without budget on the graph derived from page ids: shortest depth per (seed, url)."""
+    pages = _pages(spark, sf_dir)
+    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
+    v = crawl(synthetic_edges(pages), seeds, "breadth", max_depth=20, include_external=True)
+    return v.select("seed_id", "url", F.col("depth").cast("long").alias("depth"))
+
+
+def frontier_best(spark, sf_dir):
+    """G3 (reference limits) on the graph derived from page ids."""
+    pages = _pages(spark, sf_dir)
+    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
+    v = crawl(synthetic_edges(pages), seeds, "best", max_depth=3, max_pages=25, include_external=True,
+              keywords=CRAWL_KEYWORDS, weight=SCORE_WEIGHT, pages=pages)
+    return _visits_out(v, "score")
+
+
+def frontier_depth_first(spark, sf_dir):
+    """G4 (reference limits) on the graph derived from page ids."""
+    pages = _pages(spark, sf_dir)
+    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
+    v = crawl(synthetic_edges(pages), seeds, "depth", max_depth=10, max_pages=50, include_external=False, pages=pages)
+    return _visits_out(v)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_keys": url_keys,
     "slug_collisions": slug_collisions,
@@ -119,4 +165,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "domain_summary": domain_summary,
     "clean_html": clean_html,
     "keyword_rank": keyword_rank,
+    "frontier_breadth": frontier_breadth,
+    "frontier_depths": frontier_depths,
+    "frontier_best": frontier_best,
+    "frontier_depth_first": frontier_depth_first,
 }

@@ -62,3 +62,19 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast hint only when the row count is proven bounded, else the frame as is."""
     return F.broadcast(df) if small_enough(df, limit) else df
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Cut lineage: write ``df`` once as parquet under the checkpoint folder and read it back.
+
+    One job (compute + write) instead of the two of ``Dataset.checkpoint``; the
+    files live in the shared folder named by ``spark.checkpoint.dir`` (never a
+    machine-local folder on a cluster), so later stages survive executor loss.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/sitelake-{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
