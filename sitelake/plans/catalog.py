@@ -16,7 +16,9 @@ from ..functions import urls as U
 from ..operators.extract import extract_fields, selectors_frame
 from ..operators.frontier import crawl, synthetic_edges
 from ..operators.links import extract_links, first_occurrence, link_scope_lists
+from ..operators.candidates import candidate_cards as _candidate_cards
 from ..operators.listing import extract_listing_links
+from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors
 from ..operators.shred import shred
 from ..sources.pages import read_pages
 
@@ -154,6 +156,37 @@ def frontier_depth_first(spark, sf_dir):
     return _visits_out(v)
 
 
+OVERSCOPED_SELECTORS = {"title": "div.main article h1", "ad": "body div.ad", "footer": "section > footer",
+                       "price": ".price", "links": "header nav a"}
+REPORT_SELECTORS = {"title": "h1", "para": "p", "links": "nav a", "price": ".price", "items": "ul > li"}
+PAGINATION_SELECTORS = {"product_card": "article", "product_link": "a", "pagination": "nav a"}
+
+
+def validated_selectors(spark, sf_dir):
+    """V1: each field's longest matching suffix on every page."""
+    nodes = shred(_pages(spark, sf_dir))
+    v = validate_selectors(nodes, selectors_frame(spark, OVERSCOPED_SELECTORS))
+    return v.select("page_id", "url", "field", "selector", "validated")
+
+
+def selector_report(spark, sf_dir):
+    """A4: per field, pages checked, pages matched and total matches."""
+    nodes = shred(_pages(spark, sf_dir))
+    r = _selector_report(nodes, selectors_frame(spark, REPORT_SELECTORS))
+    return r.select("field", "selector", "n_pages", "n_pages_matched", "n_matches")
+
+
+def pagination_next(spark, sf_dir):
+    """Next-page edge from the pagination selector."""
+    nodes = shred(_pages(spark, sf_dir))
+    return pagination_links(nodes, selectors_frame(spark, PAGINATION_SELECTORS, kind="listing"))
+
+
+def candidate_cards(spark, sf_dir):
+    """V3: repeated, link-wrapping element groups outside nav/header/footer, per site."""
+    return _candidate_cards(shred(_pages(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_keys": url_keys,
     "slug_collisions": slug_collisions,
@@ -169,4 +202,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frontier_depths": frontier_depths,
     "frontier_best": frontier_best,
     "frontier_depth_first": frontier_depth_first,
+    "validated_selectors": validated_selectors,
+    "selector_report": selector_report,
+    "pagination_next": pagination_next,
+    "candidate_cards": candidate_cards,
 }
