@@ -21,6 +21,7 @@ from ..operators.listing import extract_listing_links
 from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors
 from ..operators.shred import shred
 from ..sources.pages import read_pages
+from ..sources.sitemaps import expand_index, sitemap_diff as _sitemap_diff, sitemap_urls, sitemaps_from_pages
 
 # Fixed parameters of the registered queries.
 FLAGSHIP_SELECTORS = {"title": "h1", "ad": ".ad", "footer": "footer"}
@@ -187,6 +188,22 @@ def candidate_cards(spark, sf_dir):
     return _candidate_cards(shred(_pages(spark, sf_dir)))
 
 
+def sitemap_products(spark, sf_dir):
+    """V7: site indexes -> child sitemaps -> locs -> landed pages (J5) -> fields; sitemap duplicates kept."""
+    pages = _pages(spark, sf_dir)
+    docs = sitemaps_from_pages(pages)
+    locs = expand_index(docs).filter(F.col("child_pos") > 0)
+    fields = extract_fields(shred(pages), selectors_frame(spark, FLAGSHIP_SELECTORS))
+    j = locs.join(fields, locs["loc"] == fields["url"])
+    return j.select("sitemap_url", F.col("pos").cast("long").alias("pos"), *FLAGSHIP_SELECTORS.keys(), "url")
+
+
+def sitemap_diff(spark, sf_dir):
+    """Sitemap locs (canonical page URLs) against the landed URLs."""
+    pages = _pages(spark, sf_dir)
+    return _sitemap_diff(sitemap_urls(sitemaps_from_pages(pages)), pages)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_keys": url_keys,
     "slug_collisions": slug_collisions,
@@ -206,4 +223,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "selector_report": selector_report,
     "pagination_next": pagination_next,
     "candidate_cards": candidate_cards,
+    "sitemap_products": sitemap_products,
+    "sitemap_diff": sitemap_diff,
 }
