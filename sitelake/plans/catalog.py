@@ -18,6 +18,8 @@ from ..operators.frontier import crawl, synthetic_edges
 from ..operators.links import extract_links, first_occurrence, link_scope_lists
 from ..operators.candidates import candidate_cards as _candidate_cards
 from ..operators.listing import extract_listing_links
+from ..operators.render import page_markdown as _page_markdown, page_metadata as _page_metadata
+from ..plans.jobs import clean_pages, crawl_artifacts
 from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors
 from ..operators.shred import shred
 from ..sources.pages import read_pages
@@ -204,6 +206,35 @@ def sitemap_diff(spark, sf_dir):
     return _sitemap_diff(sitemap_urls(sitemaps_from_pages(pages)), pages)
 
 
+RUN_DATE = "2026-01-01"  # run date of the layer/artifact tables (an argument, never "now")
+
+
+def page_metadata(spark, sf_dir):
+    """title, html lang, canonical link and number of meta name/property tags per page."""
+    m = _page_metadata(shred(_pages(spark, sf_dir)))
+    return m.select("page_id", "url", "title", "lang", "canonical", F.size("meta").cast("long").alias("n_meta"))
+
+
+def page_markdown(spark, sf_dir):
+    """markdown rendering of every page."""
+    return _page_markdown(shred(_pages(spark, sf_dir)))
+
+
+def clean_layers(spark, sf_dir):
+    """V8 + K1 table: raw and clean layer keys and sizes of every page."""
+    l = clean_pages(_pages(spark, sf_dir), RUN_DATE)
+    return l.select("url", "layer", F.col("date").cast("string").alias("date"), "domain", "slug",
+                    F.length("html").cast("long").alias("n_chars"))
+
+
+def artifact_long(spark, sf_dir):
+    """G6 + K11: the artifacts of a crawl that visited every landed page."""
+    pages = _pages(spark, sf_dir)
+    a = crawl_artifacts(pages.select("url"), pages, RUN_DATE)
+    return a.select("url", "kind", "ext", "domain_folder", "page_folder",
+                    F.length("payload").cast("long").alias("n_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_keys": url_keys,
     "slug_collisions": slug_collisions,
@@ -225,4 +256,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidate_cards": candidate_cards,
     "sitemap_products": sitemap_products,
     "sitemap_diff": sitemap_diff,
+    "page_metadata": page_metadata,
+    "page_markdown": page_markdown,
+    "clean_layers": clean_layers,
+    "artifact_long": artifact_long,
 }
