@@ -8,8 +8,9 @@ from the seed along its discovery tree, which orders visits without a global
 counter:
 
 * breadth: (depth, path) - level by level, parents in visit order, then link position;
-* depth: path - pre-order of the breadth-first discovery tree (exact serial DFS is
-  not parallel; this is its set-based re-aim);
+* depth: path - pre-order of the breadth-first discovery tree within max_depth, cut
+  to the first max_pages (exact serial DFS is not parallel; this is its set-based
+  re-aim);
 * best: pop the highest score first (ties: depth, path), ``batch`` per seed per round.
 
 Each round is one Spark job over all seeds; its output is written once as
@@ -110,15 +111,7 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, w
             new = new.withColumn("_r", rank).filter(F.col("_r") <= max_pages)
             new = new.join(seen, "seed_id").filter(F.col("_seen") + F.col("_r") <= max_pages).drop("_r", "_seen")
         new = materialize(new, "level")
-        if max_pages is not None and strategy == "depth":
-            # prune to the first max_pages in pre-order among all known visits: ranks only grow later
-            allv = _union(parts + [new])
-            rank = F.row_number().over(Window.partitionBy("seed_id").orderBy("path"))
-            kept = materialize(allv.withColumn("_r", rank).filter(F.col("_r") <= max_pages).drop("_r"), "kept")
-            parts = [kept]
-            new = new.join(kept.select("seed_id", "url"), ["seed_id", "url"], "left_semi")
-        else:
-            parts.append(new)
+        parts.append(new)
         if new.isEmpty():
             break
         frontier = new
@@ -126,6 +119,10 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, w
     if max_pages is not None or strategy == "depth":
         key = [F.col("depth"), F.col("path")] if strategy == "breadth" else [F.col("path")]
         visits = visits.withColumn("visit_order", F.row_number().over(Window.partitionBy("seed_id").orderBy(*key)))
+        if max_pages is not None:
+            # depth: the budget cuts the pre-order of the whole discovery tree (pruning earlier
+            # would let a deeper node take a smaller path); a literal bound gives a partial top-k
+            visits = visits.filter(F.col("visit_order") <= max_pages)
     else:
         visits = visits.withColumn("visit_order", F.lit(None).cast("int"))
     return visits.select(*VISIT_COLS, "visit_order")
@@ -134,8 +131,9 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, w
 def _best_first(e, v0, max_depth, max_pages, include_external, keywords, weight, threshold, batch):
     """State table per round: visited rows (visit_order set) and the candidate pool (visit_order null)."""
     visited = v0.withColumn("visit_order", F.lit(1))
-    pool = _first_per_url(_expand(v0, e, F.lit(1), include_external, keywords, weight, threshold)
-                          .filter(F.col("depth") <= max_depth)).withColumn("visit_order", F.lit(None).cast("int"))
+    first = _expand(v0, e, F.lit(1), include_external, keywords, weight, threshold).filter(F.col("depth") <= max_depth)
+    first = first.join(v0.select("seed_id", "url"), ["seed_id", "url"], "left_anti")
+    pool = _first_per_url(first).withColumn("visit_order", F.lit(None).cast("int"))
     state = materialize(visited.unionByName(pool), "best")
     for step in range(1, max_pages):
         vis = state.filter(F.col("visit_order").isNotNull())
