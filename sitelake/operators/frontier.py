@@ -41,7 +41,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _expand(frontier: DataFrame, edges: DataFrame, depth_of_new, include_external: bool,
-            keywords, weight: float, threshold) -> DataFrame:
+            keywords, weight: float, threshold, filters=None) -> DataFrame:
     """Out-links of frontier visits as candidate visits (scope and score filters applied)."""
     c = frontier.alias("f").join(edges.alias("e"), F.col("f.url") == F.col("e.src")).select(
         F.col("f.seed_id").alias("seed_id"), F.col("f.seed_domain").alias("seed_domain"),
@@ -52,6 +52,8 @@ def _expand(frontier: DataFrame, edges: DataFrame, depth_of_new, include_externa
     c = c.withColumn("score", keyword_score(F.col("url"), keywords or [], weight))
     if threshold is not None and keywords:
         c = c.filter(F.col("score") >= F.lit(float(threshold)))  # P7
+    for f in filters or []:
+        c = c.filter(f)  # O11
     return c
 
 
@@ -73,22 +75,31 @@ def _seeds(seeds: DataFrame, keywords, weight) -> DataFrame:
 def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_depth: int = 20,
           max_pages: int | None = None, include_external: bool = False, keywords: list[str] | None = None,
           weight: float = 0.7, threshold: float | None = None, batch: int = 1,
-          pages: DataFrame | None = None) -> DataFrame:
+          pages: DataFrame | None = None, allowed_domains: list[str] | None = None,
+          url_pattern: str | None = None) -> DataFrame:
     """Visit table of a crawl from every seed.
 
     edges(src, dst, pos): links between URLs; seeds(seed_id, url); pages(url)
-    (optional) marks which URLs are landed. Returns seed_id, url, depth,
+    (optional) marks which URLs are landed. O11 filters: ``allowed_domains`` (domain
+    of a candidate in the list) and ``url_pattern`` (regex a candidate must match);
+    content-type filters need a type column the landed tables do not have. Returns seed_id, url, depth,
     parent, path, score, visit_order (1-based per seed; null when unbounded
     breadth/depth runs are not budgeted and no order is needed), landed.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
+    filters = []
+    if allowed_domains:
+        filters.append(domain(F.col("url")).isin(*allowed_domains))
+    if url_pattern:
+        filters.append(F.col("url").rlike(url_pattern))
     e = materialize(edges.select("src", "dst", "pos"), "edges")
     v0 = materialize(_seeds(seeds, keywords, weight), "seeds")
     if strategy == "best":
-        visits = _best_first(e, v0, max_depth, max_pages or 25, include_external, keywords, weight, threshold, batch)
+        visits = _best_first(e, v0, max_depth, max_pages or 25, include_external, keywords, weight, threshold, batch,
+                             filters)
     elif strategy in ("breadth", "depth"):
-        visits = _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, weight, threshold)
+        visits = _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, weight, threshold, filters)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     if pages is not None:
@@ -97,11 +108,11 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
     return visits
 
 
-def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, weight, threshold):
+def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, weight, threshold, filters=None):
     parts = [v0]
     frontier = v0
     for d in range(1, max_depth + 1):
-        cand = _expand(frontier, e, F.lit(d), include_external, keywords, weight, threshold)
+        cand = _expand(frontier, e, F.lit(d), include_external, keywords, weight, threshold, filters)
         cand = cand.join(_union(parts).select("seed_id", "url"), ["seed_id", "url"], "left_anti")
         new = _first_per_url(cand)
         if max_pages is not None and strategy == "breadth":
@@ -128,10 +139,11 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, w
     return visits.select(*VISIT_COLS, "visit_order")
 
 
-def _best_first(e, v0, max_depth, max_pages, include_external, keywords, weight, threshold, batch):
+def _best_first(e, v0, max_depth, max_pages, include_external, keywords, weight, threshold, batch, filters=None):
     """State table per round: visited rows (visit_order set) and the candidate pool (visit_order null)."""
     visited = v0.withColumn("visit_order", F.lit(1))
-    first = _expand(v0, e, F.lit(1), include_external, keywords, weight, threshold).filter(F.col("depth") <= max_depth)
+    first = _expand(v0, e, F.lit(1), include_external, keywords, weight, threshold, filters) \
+        .filter(F.col("depth") <= max_depth)
     first = first.join(v0.select("seed_id", "url"), ["seed_id", "url"], "left_anti")
     pool = _first_per_url(first).withColumn("visit_order", F.lit(None).cast("int"))
     state = materialize(visited.unionByName(pool), "best")
@@ -144,7 +156,7 @@ def _best_first(e, v0, max_depth, max_pages, include_external, keywords, weight,
         pick = pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= batch)
         pick = pick.join(seen, "seed_id").filter(F.col("_seen") + F.col("_r") <= max_pages)
         pick = pick.withColumn("visit_order", (F.col("_seen") + F.col("_r")).cast("int")).drop("_r", "_seen")
-        grown = _expand(pick, e, F.col("f.depth") + 1, include_external, keywords, weight, threshold) \
+        grown = _expand(pick, e, F.col("f.depth") + 1, include_external, keywords, weight, threshold, filters) \
             .filter(F.col("depth") <= max_depth)
         # a URL already pooled may be found again by a shorter path: the merge keeps the smallest (depth, path)
         done = vis.select("seed_id", "url").unionByName(pick.select("seed_id", "url"))

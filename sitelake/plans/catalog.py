@@ -22,6 +22,7 @@ from ..operators.render import page_markdown as _page_markdown, page_metadata as
 from ..plans.jobs import clean_pages, crawl_artifacts
 from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors
 from ..operators.shred import shred
+from ..reports import site as R
 from ..sources.pages import read_pages
 from ..sources.sitemaps import expand_index, sitemap_diff as _sitemap_diff, sitemap_urls, sitemaps_from_pages
 
@@ -235,6 +236,57 @@ def artifact_long(spark, sf_dir):
                     F.length("payload").cast("long").alias("n_bytes"))
 
 
+def page_rank(spark, sf_dir):
+    """O1: PageRank (20 iterations, damping 0.85) on the graph derived from page ids."""
+    return R.page_rank(synthetic_edges(_pages(spark, sf_dir)))
+
+
+def orphan_pages(spark, sf_dir):
+    """O2: landed pages that no landed page links to."""
+    pages = _pages(spark, sf_dir)
+    return R.orphan_pages(pages, extract_links(shred(pages)))
+
+
+def depth_distribution(spark, sf_dir):
+    """O3: visits per depth of the unbudgeted breadth crawl from every page (derived graph)."""
+    pages = _pages(spark, sf_dir)
+    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
+    v = crawl(synthetic_edges(pages), seeds, "breadth", max_depth=20, include_external=True)
+    return R.depth_distribution(v).select(F.col("depth").cast("long").alias("depth"), "n_visits", "n_seeds")
+
+
+def hub_pages(spark, sf_dir):
+    """Top 10 pages by out-degree over the pages' own links."""
+    h = R.hub_pages(extract_links(shred(_pages(spark, sf_dir))), 10)
+    return h.select("url", F.col("out_degree").cast("long").alias("out_degree"),
+                    F.col("in_degree").cast("long").alias("in_degree"), F.col("rank").cast("long").alias("rank"))
+
+
+def broken_links(spark, sf_dir):
+    """Internal links whose target is not a landed page."""
+    pages = _pages(spark, sf_dir)
+    b = R.broken_links(extract_links(shred(pages)), pages)
+    return b.select("page_id", F.col("pos").cast("long").alias("pos"), "dst")
+
+
+def seo_summary(spark, sf_dir):
+    """O7 + O8: per-domain coverage of SEO signals and the weighted score."""
+    pages = _pages(spark, sf_dir)
+    nodes = shred(pages)
+    e = extract_links(nodes)
+    landed = pages.select(F.col("url").alias("dst")).distinct().withColumn("_l", F.lit(True))
+    e = e.join(landed, "dst", "left").withColumn("broken", (F.col("scope") == "internal") & F.col("_l").isNull())
+    s = R.seo_summary(R.seo_signals(nodes), e)
+    return s.select("domain", "n_pages", "title", "one_h1", "meta_description", "canonical", "noindex",
+                    F.col("n_internal_links").cast("long").alias("n_internal_links"),
+                    F.col("n_broken_links").cast("long").alias("n_broken_links"), "links_ok", "seo_score")
+
+
+def tech_fingerprint(spark, sf_dir):
+    """Technologies detected per page by the regex rule list."""
+    return R.tech_fingerprint(_pages(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_keys": url_keys,
     "slug_collisions": slug_collisions,
@@ -260,4 +312,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_markdown": page_markdown,
     "clean_layers": clean_layers,
     "artifact_long": artifact_long,
+    "page_rank": page_rank,
+    "orphan_pages": orphan_pages,
+    "depth_distribution": depth_distribution,
+    "hub_pages": hub_pages,
+    "broken_links": broken_links,
+    "seo_summary": seo_summary,
+    "tech_fingerprint": tech_fingerprint,
 }
