@@ -113,8 +113,9 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, w
     frontier = v0
     for d in range(1, max_depth + 1):
         cand = _expand(frontier, e, F.lit(d), include_external, keywords, weight, threshold, filters)
-        cand = cand.join(_union(parts).select("seed_id", "url"), ["seed_id", "url"], "left_anti")
-        new = _first_per_url(cand)
+        # dedupe first (partial aggregation map-side); its output is already partitioned on the
+        # anti-join keys, so only the visited side shuffles for the anti-join
+        new = _first_per_url(cand).join(_union(parts).select("seed_id", "url"), ["seed_id", "url"], "left_anti")
         if max_pages is not None and strategy == "breadth":
             # This level's visits in (parent order, link position) = path order, after the earlier levels
             seen = _union(parts).groupBy("seed_id").agg(F.count(F.lit(1)).alias("_seen"))
