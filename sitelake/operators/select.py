@@ -307,12 +307,21 @@ def match(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     A global selector is matched on every page; a scoped one only on pages of
     that domain.
     """
+    spark = nodes.sparkSession
     steps = compile_selectors(queries).filter("valid")
-    stats = steps.agg(F.count(F.lit(1)).alias("n"), F.max("n_steps").alias("k"),
-                      F.count_if(F.col("scope") == GLOBAL).alias("g")).first()
-    if stats["n"] == 0:
-        return nodes.sparkSession.createDataFrame([], _match_schema(nodes))
-    bcast = stats["n"] <= BROADCAST_ROW_LIMIT
+    # a step table small enough to broadcast goes through the driver anyway: take it once
+    # (bounded read) as a local relation, so the compile runs once and its stats are free
+    head = steps.limit(BROADCAST_ROW_LIMIT + 1).collect()
+    bcast = len(head) <= BROADCAST_ROW_LIMIT
+    if bcast:
+        if not head:
+            return spark.createDataFrame([], _match_schema(nodes))
+        steps = spark.createDataFrame(head, steps.schema)
+        stats = {"n": len(head), "k": max(r["n_steps"] for r in head),
+                 "g": sum(1 for r in head if r["scope"] == GLOBAL)}
+    else:
+        stats = steps.agg(F.count(F.lit(1)).alias("n"), F.max("n_steps").alias("k"),
+                          F.count_if(F.col("scope") == GLOBAL).alias("g")).first()
     s = steps.select(
         "scope", "selector", "alt", "step_no", "n_steps", "comb", F.col("tag").alias("s_tag"),
         F.col("ids").alias("s_ids"), F.col("classes").alias("s_classes"), F.col("attrs").alias("s_attrs"), "key")
