@@ -80,6 +80,27 @@ def bootstrap_product_page(nodes: DataFrame, listing: DataFrame, product: DataFr
 
 
 def landed(urls: DataFrame, pages: DataFrame, url_col: str = "url") -> tuple[DataFrame, DataFrame]:
-    """(urls joined to landed pages, urls with no landed page)."""
-    p = pages.select(F.col("url").alias(url_col), "page_id", "html")
+    """(urls joined to landed pages - adds landed_id and html -, urls with no landed page)."""
+    p = pages.select(F.col("url").alias(url_col), F.col("page_id").alias("landed_id"), "html")
     return urls.join(p, url_col, "inner"), urls.join(p.select(url_col), url_col, "left_anti")
+
+
+def missing_selectors(pages: DataFrame, selectors: DataFrame, kind: str = "product") -> DataFrame:
+    """J6 report: sites with landed pages but no stored selector record of ``kind``.
+
+    Columns: domain, n_pages.
+    """
+    from ..functions.urls import domain as url_domain
+    have = selectors.filter(F.col("kind") == kind).select(F.col("scope").alias("domain")).distinct()
+    per_site = pages.groupBy(url_domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n_pages"))
+    return per_site.join(checked_broadcast(have), "domain", "left_anti")
+
+
+def with_progress(df: DataFrame, group: str, order: str) -> DataFrame:
+    """``idx`` (1-based) and ``n`` per group in ``order`` - the reference's "i of n".
+
+    Meant for bounded groups (the URLs of one listing page or one sitemap file).
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    return df.withColumn("idx", F.row_number().over(w)).withColumn(
+        "n", F.count(F.lit(1)).over(Window.partitionBy(group)))

@@ -25,7 +25,7 @@ def listing_to_products(listing_pages: DataFrame, pages: DataFrame, listing: Dat
     """
     links = extract_listing_links(shred(listing_pages), listing)
     found, missing = landed(links, pages)
-    prod_nodes = shred(found.select("page_id", "url", "html").dropDuplicates(["page_id"]))
+    prod_nodes = shred(found.select(F.col("landed_id").alias("page_id"), "url", "html").dropDuplicates(["page_id"]))
     rows = extract_fields(prod_nodes, product)
     out = links.select(F.col("page_id").alias("listing_id"), "pos", "url").join(rows.drop("page_id"), "url")
     return out, missing
@@ -35,7 +35,8 @@ def sitemap_to_products(sitemap_docs: DataFrame, pages: DataFrame, product: Data
     """V7: sitemaps (urlset or one-level index) -> locs -> landed pages -> fields; duplicates kept."""
     locs = expand_index(sitemap_docs).select("root", "sitemap_url", "pos", F.col("loc").alias("url"))
     found, missing = landed(locs, pages)
-    rows = extract_fields(shred(found.select("page_id", "url", "html").dropDuplicates(["page_id"])), product)
+    rows = extract_fields(shred(found.select(F.col("landed_id").alias("page_id"), "url", "html")
+                                .dropDuplicates(["page_id"])), product)
     return locs.join(rows.drop("page_id"), "url"), missing
 
 

@@ -115,3 +115,17 @@ def write_artifacts(arts: DataFrame, path: str) -> None:
     """K5-K10 layout: partitioned by date / domain folder / kind."""
     arts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("date", "domain_folder", "kind").parquet(path)
+
+
+# -- O10: per-site sitemap and link files ---------------------------------------------
+
+def write_sitemap_docs(docs: DataFrame, path: str) -> None:
+    """Sitemap documents (sitemap_url, xml) as text, one folder per site."""
+    docs.select(domain(F.col("sitemap_url")).alias("domain"), "xml").write.mode("overwrite") \
+        .partitionBy("domain").text(path)
+
+
+def write_link_lists(lists: DataFrame, path: str) -> None:
+    """G5 lists (page_id, scope, n_links, links) as JSON lines per site and scope
+    (the all / internal / external files of the layout comment)."""
+    lists.write.mode("overwrite").partitionBy("domain", "scope").json(path)
