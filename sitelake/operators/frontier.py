@@ -76,13 +76,15 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
           max_pages: int | None = None, include_external: bool = False, keywords: list[str] | None = None,
           weight: float = 0.7, threshold: float | None = None, batch: int = 1,
           pages: DataFrame | None = None, allowed_domains: list[str] | None = None,
-          url_pattern: str | None = None) -> DataFrame:
+          url_pattern: str | None = None, keep_tree: bool = True) -> DataFrame:
     """Visit table of a crawl from every seed.
 
     edges(src, dst, pos): links between URLs; seeds(seed_id, url); pages(url)
     (optional) marks which URLs are landed. O11 filters: ``allowed_domains`` (domain
     of a candidate in the list) and ``url_pattern`` (regex a candidate must match);
-    content-type filters need a type column the landed tables do not have. Returns seed_id, url, depth,
+    content-type filters need a type column the landed tables do not have. ``keep_tree=False``
+    (breadth without budget only) computes reachability and depth alone: each level
+    carries (seed, url) pairs, no parent or path. Returns seed_id, url, depth,
     parent, path, score, visit_order (1-based per seed; null when unbounded
     breadth/depth runs are not budgeted and no order is needed), landed.
     """
@@ -98,6 +100,10 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
     if strategy == "best":
         visits = _best_first(e, v0, max_depth, max_pages or 25, include_external, keywords, weight, threshold, batch,
                              filters)
+    elif not keep_tree:
+        if strategy != "breadth" or max_pages is not None:
+            raise ValueError("keep_tree=False needs strategy='breadth' without max_pages")
+        visits = _reach(e, v0, max_depth, include_external, filters)
     elif strategy in ("breadth", "depth"):
         visits = _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, weight, threshold, filters)
     else:
@@ -140,6 +146,31 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, w
     return visits.select(*VISIT_COLS, "visit_order")
 
 
+def _reach(e, v0, max_depth, include_external, filters):
+    """Shortest depth of every (seed, url) within max_depth; only pairs move between levels."""
+    edges = e.select("src", "dst")
+    parts = [v0.select("seed_id", "seed_domain", "url", "depth")]
+    frontier = parts[0]
+    for d in range(1, max_depth + 1):
+        c = frontier.join(edges, frontier["url"] == edges["src"]).select(
+            "seed_id", "seed_domain", F.col("dst").alias("url"))
+        if not include_external:
+            c = c.filter(domain(F.col("url")) == F.col("seed_domain"))
+        for f in filters or []:
+            c = c.filter(f)
+        new = c.dropDuplicates(["seed_id", "url"]).join(_union(parts).select("seed_id", "url"), ["seed_id", "url"],
+                                                        "left_anti").withColumn("depth", F.lit(d))
+        new = materialize(new, "reach")
+        if new.isEmpty():
+            break
+        parts.append(new)
+        frontier = new
+    v = _union(parts)
+    return v.select("seed_id", "seed_domain", "url", "depth", F.lit(None).cast("string").alias("parent"),
+                    F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("double").alias("score"),
+                    F.lit(None).cast("int").alias("visit_order"))
+
+
 def _best_first(e, v0, max_depth, max_pages, include_external, keywords, weight, threshold, batch, filters=None):
     """State table per round: visited rows (visit_order set) and the candidate pool (visit_order null)."""
     visited = v0.withColumn("visit_order", F.lit(1))

@@ -139,7 +139,7 @@ def frontier_depths(spark, sf_dir):
     """G2 without budget on the graph derived from page ids: shortest depth per (seed, url)."""
     pages = _pages(spark, sf_dir)
     seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
-    v = crawl(synthetic_edges(pages), seeds, "breadth", max_depth=20, include_external=True)
+    v = crawl(synthetic_edges(pages), seeds, "breadth", max_depth=20, include_external=True, keep_tree=False)
     return v.select("seed_id", "url", F.col("depth").cast("long").alias("depth"))
 
 
@@ -251,7 +251,7 @@ def depth_distribution(spark, sf_dir):
     """O3: visits per depth of the unbudgeted breadth crawl from every page (derived graph)."""
     pages = _pages(spark, sf_dir)
     seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
-    v = crawl(synthetic_edges(pages), seeds, "breadth", max_depth=20, include_external=True)
+    v = crawl(synthetic_edges(pages), seeds, "breadth", max_depth=20, include_external=True, keep_tree=False)
     return R.depth_distribution(v).select(F.col("depth").cast("long").alias("depth"), "n_visits", "n_seeds")
 
 
