@@ -1,0 +1,65 @@
+"""Write PLANS.md: per registered query, what the physical plan contains (from explain("formatted")).
+
+Usage: python tests/plan_report.py [sf_dir]
+Counts come from the final (adaptive) plan after one execution of each query.
+"""
+import io
+import os
+import re
+import sys
+from contextlib import redirect_stdout
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def main():
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    from __spark_entry__ import queries
+    from sitelake.session import local_session
+    spark = local_session(8)
+    lines = ["# Physical plans of the registered queries", "",
+             f"From `explain('formatted')` after one run at `{sf}` (local[8], AQE on, 8 shuffle partitions). "
+             "Counts are operators of the final adaptive plan, subqueries included; the node table is a cached "
+             "relation, so its one `page_id` exchange appears inside `InMemoryRelation`. "
+             "Frontier queries show the plan of the last step over materialized rounds.", "",
+             "| query | exchanges (shuffle) | exchanges inside cached node table | broadcast exchanges | "
+             "broadcast hash joins | sort-merge joins | windows | Python (MapInArrow) | scan ReadSchema columns |",
+             "|---|---|---|---|---|---|---|---|---|"]
+    for name, fn in queries().items():
+        df = fn(spark, sf)
+        df.write.format("noop").mode("overwrite").save()
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            df.explain("formatted")
+        text = buf.getvalue()
+        final = text.split("== Initial Plan ==")[0] if "== Initial Plan ==" in text else text
+        details = text.split("\n\n", 1)[1] if "\n\n" in text else text
+        tree = final.split("\n\n")[0]
+        cached = tree.count("InMemoryRelation")
+        ex = len(re.findall(r"\bExchange \(\d+\)", tree))
+        bex = len(re.findall(r"BroadcastExchange \(\d+\)", tree))
+        bhj = len(re.findall(r"BroadcastHashJoin", tree))
+        smj = len(re.findall(r"SortMergeJoin", tree))
+        win = len(re.findall(r"\bWindow \(\d+\)", tree))
+        py = len(set(re.findall(r"MapInArrow \((\d+)\)", tree)))
+        inside = len(set(re.findall(r"Exchange \((\d+)\)\s*\n\s*[+:| -]*MapInArrow", tree)))
+        schemas = sorted({len(m.split(",")) for m in re.findall(r"ReadSchema: struct<([^>]*)>", details)})
+        lines.append(f"| {name} | {ex} | {inside if cached else 0} | {bex} | {bhj} | {smj} | {win} | {py} | "
+                     f"{', '.join(map(str, schemas))} |")
+        spark.catalog.clearCache()
+        print(name, "done", flush=True)
+    lines += ["", "Reading the table: the source scan reads at most the 3 page columns (page_id, url, html); "
+              "extraction queries shuffle the node table once on page_id and nothing after it; selector steps "
+              "and selector records are broadcast (row count checked); sort-merge joins appear only where both "
+              "sides are large (frontier rounds, link-target lookups). On these small inputs the scan has fewer "
+              "splits than cores, so the pages are also spread round-robin before the Python parse: that is the "
+              "second exchange of the extraction queries (large inputs keep their splits and skip it). "
+              "sitemap_products builds sitemap documents from the pages, parses them back and joins them to the "
+              "extracted rows, hence its longer chain of shuffles."]
+    open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w").write(
+        "\n".join(lines) + "\n")
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()
