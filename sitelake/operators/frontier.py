@@ -147,28 +147,48 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, w
 
 
 def _reach(e, v0, max_depth, include_external, filters):
-    """Shortest depth of every (seed, url) within max_depth; only pairs move between levels."""
-    edges = e.select("src", "dst")
-    parts = [v0.select("seed_id", "seed_domain", "url", "depth")]
-    frontier = parts[0]
+    """Shortest depth of every (seed, url) within max_depth; only id pairs move between levels.
+
+    URLs are mapped once to 64-bit ids (with their domain id and filter flag), so each
+    level shuffles (seed, id) longs instead of URL strings; URLs are joined back at the end.
+    """
+    urls = e.select(F.col("src").alias("url")).union(e.select(F.col("dst").alias("url"))) \
+        .union(v0.select("url")).distinct()
+    ok = reduce(lambda a, b: a & b, filters) if filters else F.lit(True)
+    ids = materialize(urls.select("url", F.monotonically_increasing_id().alias("uid"),
+                                  domain(F.col("url")).alias("dom"), ok.alias("ok")), "reach_ids")
+    doms = materialize(ids.select("dom").distinct().withColumn("dom_id", F.monotonically_increasing_id()),
+                       "reach_doms")
+    idx = ids.join(doms, "dom").select("url", "uid", "dom_id", "ok")
+    src = idx.select(F.col("url").alias("src"), F.col("uid").alias("s"))
+    dst = idx.select(F.col("url").alias("dst"), F.col("uid").alias("d"), F.col("dom_id").alias("d_dom"),
+                     F.col("ok").alias("d_ok"))
+    g = e.join(src, "src").join(dst, "dst").select("s", "d", "d_dom", "d_ok")
+    if filters:
+        g = g.filter(F.col("d_ok"))  # O11 flags were computed once per URL
+    g = materialize(g.select("s", "d", "d_dom"), "reach_edges")
+    seeds = v0.join(idx.select("url", "uid", "dom_id"), "url").select(
+        "seed_id", "uid", F.col("dom_id").alias("seed_dom"), F.lit(0).alias("depth"))
+    seeds = materialize(seeds, "reach_seeds")
+    parts = [seeds]
+    frontier = seeds
     for d in range(1, max_depth + 1):
-        c = frontier.join(edges, frontier["url"] == edges["src"]).select(
-            "seed_id", "seed_domain", F.col("dst").alias("url"))
+        c = frontier.join(g, frontier["uid"] == g["s"]).select("seed_id", "seed_dom", F.col("d").alias("uid"), "d_dom")
         if not include_external:
-            c = c.filter(domain(F.col("url")) == F.col("seed_domain"))
-        for f in filters or []:
-            c = c.filter(f)
-        new = c.dropDuplicates(["seed_id", "url"]).join(_union(parts).select("seed_id", "url"), ["seed_id", "url"],
-                                                        "left_anti").withColumn("depth", F.lit(d))
+            c = c.filter(F.col("d_dom") == F.col("seed_dom"))  # P6 on domain ids
+        new = c.select("seed_id", "uid", "seed_dom").dropDuplicates(["seed_id", "uid"]) \
+            .join(_union(parts).select("seed_id", "uid"), ["seed_id", "uid"], "left_anti").withColumn("depth", F.lit(d))
         new = materialize(new, "reach")
         if new.isEmpty():
             break
         parts.append(new)
         frontier = new
-    v = _union(parts)
-    return v.select("seed_id", "seed_domain", "url", "depth", F.lit(None).cast("string").alias("parent"),
-                    F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("double").alias("score"),
-                    F.lit(None).cast("int").alias("visit_order"))
+    v = _union(parts).join(ids.select("uid", "url", F.col("dom").alias("_dom")), "uid")
+    seed_dom = v0.select("seed_id", "seed_domain")
+    return v.join(seed_dom, "seed_id").select(
+        "seed_id", "seed_domain", "url", "depth", F.lit(None).cast("string").alias("parent"),
+        F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("int").alias("visit_order"))
 
 
 def _best_first(e, v0, max_depth, max_pages, include_external, keywords, weight, threshold, batch, filters=None):

@@ -117,3 +117,21 @@ def test_best_first_exact(frames):
                         weight=0.7, pages=pages))
     for sid, s in [(0, U[0]), (1, U[3])]:
         assert got[sid] == best_first(s, graph(), 3, 7, kw, 0.7)
+
+
+@pytest.mark.parametrize("internal", [True, False])
+def test_reachability_mode(frames, internal):
+    edges, seeds, pages = frames
+    v = crawl(edges, seeds, "breadth", max_depth=4, include_external=not internal, keep_tree=False)
+    got = {}
+    for r in v.collect():
+        got.setdefault(r.seed_id, {})[r.url] = r.depth
+    for sid, s in [(0, U[0]), (1, U[3])]:
+        _, seen = bfs(s, graph(), 4, None, internal)
+        assert got[sid] == {u: dp for u, (dp, _) in seen.items()}
+
+
+def test_url_filter(frames):
+    edges, seeds, pages = frames
+    v = crawl(edges, seeds, "breadth", max_depth=5, include_external=True, url_pattern=r"/[0-5]$")
+    assert all(r.url[-1] in "012345" for r in v.collect())
