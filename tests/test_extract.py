@@ -1,5 +1,4 @@
 """Listing links (V2, J4, V4), field extraction (V5), validator (V1), variants (V9), records."""
-from pyspark.sql import functions as F
 
 from sitelake.operators.extract import extract_fields, selectors_frame
 from sitelake.operators.listing import bootstrap_product_page, extract_listing_links

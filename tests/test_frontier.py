@@ -1,9 +1,7 @@
 """Crawl frontiers against brute-force Python crawls on a hand graph."""
-import heapq
 
 import pytest
 
-from sitelake.functions.urls import domain as _d  # noqa: F401  (domain rule mirrored below)
 from sitelake.operators.frontier import crawl
 
 N = 12
