@@ -57,7 +57,8 @@ def last_write_wins(layers: DataFrame, ts_col: str = "landed_at") -> DataFrame:
 # -- K3: products CSV ------------------------------------------------------------
 
 def write_products_csv(products: DataFrame, path: str, fields: list[str], run_domain: str | None = None) -> None:
-    """K3: one CSV folder per site, header, columns = fields then url, quotes doubled, empty written as nothing.
+    """K3: one CSV folder per site, header, columns = fields then url, quotes doubled, empty written as
+    nothing, rows ended by CRLF (the bytes of Python's csv writer).
 
     Rows go to their own URL's domain; ``run_domain`` sends all rows to one folder
     as the reference did (D9). With no rows nothing is written.
@@ -65,7 +66,7 @@ def write_products_csv(products: DataFrame, path: str, fields: list[str], run_do
     dom = F.lit(run_domain) if run_domain else domain(F.col("url"))
     out = products.select(*[F.col(f"`{f}`") for f in fields], "url", dom.alias("domain"))
     out.write.mode("overwrite").partitionBy("domain").option("header", True).option("escape", '"') \
-        .option("emptyValue", "").option("encoding", "UTF-8").csv(path)
+        .option("emptyValue", "").option("encoding", "UTF-8").option("lineSep", "\r\n").csv(path)
 
 
 # -- K4: selector records ----------------------------------------------------------

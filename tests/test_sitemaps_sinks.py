@@ -38,6 +38,8 @@ def test_products_csv_quoting(spark):
     files = glob.glob(out + "/csv/domain=a.com/*.csv")
     text = "".join(open(f, encoding="utf-8").read() for f in files)
     assert '"a ""q"", b",,' in text
+    raw = b"".join(open(f, "rb").read() for f in files)
+    assert raw.startswith(b"name,price,description,url\r\n")
     recs = list(csv.reader(open(files[0], encoding="utf-8")))
     assert recs[0] == ["name", "price", "description", "url"]
     assert recs[1] == ['a "q", b', "", "line1\nline2", "http://a.com/1"]
