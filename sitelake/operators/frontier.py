@@ -40,21 +40,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _expand(frontier: DataFrame, edges: DataFrame, depth_of_new, include_external: bool,
-            keywords, weight: float, threshold, filters=None) -> DataFrame:
-    """Out-links of frontier visits as candidate visits (scope and score filters applied)."""
-    c = frontier.alias("f").join(edges.alias("e"), F.col("f.url") == F.col("e.src")).select(
+def _expand(frontier: DataFrame, edges: DataFrame, depth_of_new, include_external: bool, threshold) -> DataFrame:
+    """Out-links of frontier visits as candidate visits, in id space (scope and score filters applied).
+
+    ``edges`` carries per target its domain id and keyword score, computed once per URL.
+    """
+    c = frontier.alias("f").join(edges.alias("e"), F.col("f.url") == F.col("e.src"))
+    if not include_external:
+        c = c.filter(F.col("e.d_dom") == F.col("f.seed_domain"))  # P6
+    if threshold is not None:
+        c = c.filter(F.col("e.d_score") >= F.lit(float(threshold)))  # P7
+    return c.select(
         F.col("f.seed_id").alias("seed_id"), F.col("f.seed_domain").alias("seed_domain"),
         F.col("e.dst").alias("url"), depth_of_new.alias("depth"), F.col("f.url").alias("parent"),
-        F.concat(F.col("f.path"), F.array(F.col("e.pos").cast("int"))).alias("path"))
-    if not include_external:
-        c = c.filter(domain(F.col("url")) == F.col("seed_domain"))  # P6
-    c = c.withColumn("score", keyword_score(F.col("url"), keywords or [], weight))
-    if threshold is not None and keywords:
-        c = c.filter(F.col("score") >= F.lit(float(threshold)))  # P7
-    for f in filters or []:
-        c = c.filter(f)  # O11
-    return c
+        F.concat(F.col("f.path"), F.array(F.col("e.pos").cast("int"))).alias("path"), F.col("e.d_score").alias("score"))
 
 
 def _first_per_url(c: DataFrame) -> DataFrame:
@@ -65,11 +64,41 @@ def _first_per_url(c: DataFrame) -> DataFrame:
         F.col("m.parent").alias("parent"), F.col("m.path").alias("path"), F.col("m.score").alias("score"))
 
 
-def _seeds(seeds: DataFrame, keywords, weight) -> DataFrame:
-    return seeds.select(
-        "seed_id", domain(F.col("url")).alias("seed_domain"), "url", F.lit(0).alias("depth"),
-        F.lit(None).cast("string").alias("parent"), F.array().cast("array<int>").alias("path"),
-        keyword_score(F.col("url"), keywords or [], weight).alias("score"))
+def _id_space(edges: DataFrame, seeds: DataFrame, keywords, weight, filters):
+    """Map URLs to 64-bit ids once: (ids, doms, id-edges, id-seeds).
+
+    Per URL: id, domain id, keyword score and the O11 filter flag; so rounds move
+    longs, and no string function runs per candidate.
+    """
+    e = materialize(edges.select("src", "dst", "pos"), "edges")  # read twice below: compute once
+    urls = e.select(F.col("src").alias("url")).union(e.select(F.col("dst").alias("url"))) \
+        .union(seeds.select("url")).distinct()
+    ok = reduce(lambda a, b: a & b, filters) if filters else F.lit(True)
+    ids = materialize(urls.select("url", F.monotonically_increasing_id().alias("uid"), domain(F.col("url")).alias("dom"),
+                                  keyword_score(F.col("url"), keywords or [], weight).alias("score"), ok.alias("ok")),
+                      "crawl_ids")
+    doms = materialize(ids.select("dom").distinct().withColumn("dom_id", F.monotonically_increasing_id()), "crawl_doms")
+    idx = ids.join(doms, "dom").select("url", "uid", "dom_id", "score", "ok")
+    src = idx.select(F.col("url").alias("src_url"), F.col("uid").alias("src"))
+    dst = idx.select(F.col("url").alias("dst_url"), F.col("uid").alias("dst"), F.col("dom_id").alias("d_dom"),
+                     F.col("score").alias("d_score"), F.col("ok").alias("d_ok"))
+    g = e.withColumnRenamed("src", "src_url").withColumnRenamed("dst", "dst_url") \
+        .join(src, "src_url").join(dst, "dst_url").filter(F.col("d_ok"))  # O11 once per edge
+    g = materialize(g.select("src", "dst", "pos", "d_dom", "d_score"), "crawl_edges")
+    v0 = seeds.join(idx, "url").select(
+        "seed_id", F.col("dom_id").alias("seed_domain"), F.col("uid").alias("url"), F.lit(0).alias("depth"),
+        F.lit(None).cast("long").alias("parent"), F.array().cast("array<int>").alias("path"), "score")
+    return ids, doms, g, materialize(v0, "crawl_seeds")
+
+
+def _to_urls(visits: DataFrame, ids: DataFrame, doms: DataFrame) -> DataFrame:
+    """Back from id space: url, parent and seed domain as strings."""
+    u = ids.select(F.col("uid").alias("url"), F.col("url").alias("_url"))
+    p = ids.select(F.col("uid").alias("parent"), F.col("url").alias("_parent"))
+    d = doms.select(F.col("dom_id").alias("seed_domain"), F.col("dom").alias("_dom"))
+    v = visits.join(u, "url").join(p, "parent", "left").join(d, "seed_domain")  # domains: unbounded, no hint
+    return v.select("seed_id", F.col("_dom").alias("seed_domain"), F.col("_url").alias("url"), "depth",
+                    F.col("_parent").alias("parent"), "path", "score", "visit_order")
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_depth: int = 20,
@@ -84,9 +113,10 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
     of a candidate in the list) and ``url_pattern`` (regex a candidate must match);
     content-type filters need a type column the landed tables do not have. ``keep_tree=False``
     (breadth without budget only) computes reachability and depth alone: each level
-    carries (seed, url) pairs, no parent or path. Returns seed_id, url, depth,
-    parent, path, score, visit_order (1-based per seed; null when unbounded
-    breadth/depth runs are not budgeted and no order is needed), landed.
+    carries (seed, id) pairs, no parent or path. URLs are mapped to 64-bit ids for the
+    rounds and back at the end. Returns seed_id, seed_domain, url, depth, parent, path,
+    score, visit_order (1-based per seed; null when an unbudgeted breadth run needs no
+    order), landed (when ``pages`` is given).
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -95,30 +125,31 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
         filters.append(domain(F.col("url")).isin(*allowed_domains))
     if url_pattern:
         filters.append(F.col("url").rlike(url_pattern))
-    e = materialize(edges.select("src", "dst", "pos"), "edges")
-    v0 = materialize(_seeds(seeds, keywords, weight), "seeds")
+    ids, doms, e, v0 = _id_space(edges, seeds, keywords, weight, filters)
+    if threshold is not None and not keywords:
+        threshold = None  # P7 applies only with a scorer
     if strategy == "best":
-        visits = _best_first(e, v0, max_depth, max_pages or 25, include_external, keywords, weight, threshold, batch,
-                             filters)
+        visits = _best_first(e, v0, max_depth, max_pages or 25, include_external, threshold, batch)
     elif not keep_tree:
         if strategy != "breadth" or max_pages is not None:
             raise ValueError("keep_tree=False needs strategy='breadth' without max_pages")
-        visits = _reach(e, v0, max_depth, include_external, filters)
+        visits = _reach(e, v0, max_depth, include_external)
     elif strategy in ("breadth", "depth"):
-        visits = _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, weight, threshold, filters)
+        visits = _levels(e, v0, strategy, max_depth, max_pages, include_external, threshold)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
+    visits = _to_urls(visits, ids, doms)
     if pages is not None:
         landed = pages.select("url").distinct().withColumn("landed", F.lit(True))
         visits = visits.join(landed, "url", "left").withColumn("landed", F.coalesce("landed", F.lit(False)))
     return visits
 
 
-def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, weight, threshold, filters=None):
+def _levels(e, v0, strategy, max_depth, max_pages, include_external, threshold):
     parts = [v0]
     frontier = v0
     for d in range(1, max_depth + 1):
-        cand = _expand(frontier, e, F.lit(d), include_external, keywords, weight, threshold, filters)
+        cand = _expand(frontier, e, F.lit(d), include_external, threshold)
         # dedupe first (partial aggregation map-side); its output is already partitioned on the
         # anti-join keys, so only the visited side shuffles for the anti-join
         new = _first_per_url(cand).join(_union(parts).select("seed_id", "url"), ["seed_id", "url"], "left_anti")
@@ -146,56 +177,31 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, keywords, w
     return visits.select(*VISIT_COLS, "visit_order")
 
 
-def _reach(e, v0, max_depth, include_external, filters):
-    """Shortest depth of every (seed, url) within max_depth; only id pairs move between levels.
-
-    URLs are mapped once to 64-bit ids (with their domain id and filter flag), so each
-    level shuffles (seed, id) longs instead of URL strings; URLs are joined back at the end.
-    """
-    urls = e.select(F.col("src").alias("url")).union(e.select(F.col("dst").alias("url"))) \
-        .union(v0.select("url")).distinct()
-    ok = reduce(lambda a, b: a & b, filters) if filters else F.lit(True)
-    ids = materialize(urls.select("url", F.monotonically_increasing_id().alias("uid"),
-                                  domain(F.col("url")).alias("dom"), ok.alias("ok")), "reach_ids")
-    doms = materialize(ids.select("dom").distinct().withColumn("dom_id", F.monotonically_increasing_id()),
-                       "reach_doms")
-    idx = ids.join(doms, "dom").select("url", "uid", "dom_id", "ok")
-    src = idx.select(F.col("url").alias("src"), F.col("uid").alias("s"))
-    dst = idx.select(F.col("url").alias("dst"), F.col("uid").alias("d"), F.col("dom_id").alias("d_dom"),
-                     F.col("ok").alias("d_ok"))
-    g = e.join(src, "src").join(dst, "dst").select("s", "d", "d_dom", "d_ok")
-    if filters:
-        g = g.filter(F.col("d_ok"))  # O11 flags were computed once per URL
-    g = materialize(g.select("s", "d", "d_dom"), "reach_edges")
-    seeds = v0.join(idx.select("url", "uid", "dom_id"), "url").select(
-        "seed_id", "uid", F.col("dom_id").alias("seed_dom"), F.lit(0).alias("depth"))
-    seeds = materialize(seeds, "reach_seeds")
-    parts = [seeds]
-    frontier = seeds
+def _reach(g, v0, max_depth, include_external):
+    """Shortest depth of every (seed, url id) within max_depth; only id pairs move between levels."""
+    parts = [v0.select("seed_id", "seed_domain", "url", "depth")]
+    frontier = parts[0]
     for d in range(1, max_depth + 1):
-        c = frontier.join(g, frontier["uid"] == g["s"]).select("seed_id", "seed_dom", F.col("d").alias("uid"), "d_dom")
+        c = frontier.join(g, frontier["url"] == g["src"]).select("seed_id", "seed_domain", F.col("dst").alias("url"),
+                                                                   "d_dom")
         if not include_external:
-            c = c.filter(F.col("d_dom") == F.col("seed_dom"))  # P6 on domain ids
-        new = c.select("seed_id", "uid", "seed_dom").dropDuplicates(["seed_id", "uid"]) \
-            .join(_union(parts).select("seed_id", "uid"), ["seed_id", "uid"], "left_anti").withColumn("depth", F.lit(d))
+            c = c.filter(F.col("d_dom") == F.col("seed_domain"))  # P6 on domain ids
+        new = c.select("seed_id", "seed_domain", "url").dropDuplicates(["seed_id", "url"]) \
+            .join(_union(parts).select("seed_id", "url"), ["seed_id", "url"], "left_anti").withColumn("depth", F.lit(d))
         new = materialize(new, "reach")
         if new.isEmpty():
             break
         parts.append(new)
         frontier = new
-    v = _union(parts).join(ids.select("uid", "url", F.col("dom").alias("_dom")), "uid")
-    seed_dom = v0.select("seed_id", "seed_domain")
-    return v.join(seed_dom, "seed_id").select(
-        "seed_id", "seed_domain", "url", "depth", F.lit(None).cast("string").alias("parent"),
-        F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("double").alias("score"),
-        F.lit(None).cast("int").alias("visit_order"))
+    return _union(parts).select("seed_id", "seed_domain", "url", "depth", F.lit(None).cast("long").alias("parent"),
+                                F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("double").alias("score"),
+                                F.lit(None).cast("int").alias("visit_order"))
 
 
-def _best_first(e, v0, max_depth, max_pages, include_external, keywords, weight, threshold, batch, filters=None):
+def _best_first(e, v0, max_depth, max_pages, include_external, threshold, batch):
     """State table per round: visited rows (visit_order set) and the candidate pool (visit_order null)."""
     visited = v0.withColumn("visit_order", F.lit(1))
-    first = _expand(v0, e, F.lit(1), include_external, keywords, weight, threshold, filters) \
-        .filter(F.col("depth") <= max_depth)
+    first = _expand(v0, e, F.lit(1), include_external, threshold).filter(F.col("depth") <= max_depth)
     first = first.join(v0.select("seed_id", "url"), ["seed_id", "url"], "left_anti")
     pool = _first_per_url(first).withColumn("visit_order", F.lit(None).cast("int"))
     state = materialize(visited.unionByName(pool), "best")
@@ -208,7 +214,7 @@ def _best_first(e, v0, max_depth, max_pages, include_external, keywords, weight,
         pick = pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= batch)
         pick = pick.join(seen, "seed_id").filter(F.col("_seen") + F.col("_r") <= max_pages)
         pick = pick.withColumn("visit_order", (F.col("_seen") + F.col("_r")).cast("int")).drop("_r", "_seen")
-        grown = _expand(pick, e, F.col("f.depth") + 1, include_external, keywords, weight, threshold, filters) \
+        grown = _expand(pick, e, F.col("f.depth") + 1, include_external, threshold) \
             .filter(F.col("depth") <= max_depth)
         # a URL already pooled may be found again by a shorter path: the merge keeps the smallest (depth, path)
         done = vis.select("seed_id", "url").unionByName(pick.select("seed_id", "url"))
