@@ -38,29 +38,34 @@ SEO_WEIGHTS = {"title": 0.25, "one_h1": 0.25, "meta_description": 0.2, "canonica
 def page_rank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
     """O1: PageRank over the URL graph, fixed iterations; dangling mass spread evenly.
 
-    One join + groupBy per iteration; lineage cut (materialize) every ``cut_every`` iterations
+    URLs are mapped once to 64-bit ids, so every iteration shuffles longs. One join +
+    groupBy per iteration; lineage cut (materialize) every ``cut_every`` iterations
     (each iteration reads the ranks twice, so an uncut plan doubles per iteration).
     Columns: url, rank (sums to 1).
     """
-    e = edges.select("src", "dst").distinct()
-    nodes = e.select(F.col("src").alias("url")).union(e.select(F.col("dst").alias("url"))).distinct()
-    nodes = materialize(nodes, "pr_nodes")
-    n = nodes.count()
-    outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = materialize(e.join(outdeg, "src"), "pr_links")
+    e0 = materialize(edges.select("src", "dst").distinct(), "pr_edges")
+    ids = materialize(e0.select(F.col("src").alias("url")).union(e0.select(F.col("dst").alias("url"))).distinct()
+                      .withColumn("uid", F.monotonically_increasing_id()), "pr_ids")
+    n = ids.count()
+    e = e0.join(ids.select(F.col("url").alias("src"), F.col("uid").alias("s")), "src") \
+        .join(ids.select(F.col("url").alias("dst"), F.col("uid").alias("d")), "dst").select("s", "d")
+    outdeg = e.groupBy("s").agg(F.count(F.lit(1)).alias("deg"))
+    links = materialize(e.join(outdeg, "s"), "pr_links")
+    outdeg = materialize(outdeg, "pr_outdeg")
+    nodes = ids.select("uid")
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, iterations + 1):
-        contrib = links.join(ranks.withColumnRenamed("url", "src"), "src").groupBy("dst").agg(
+        contrib = links.join(ranks.withColumnRenamed("uid", "s"), "s").groupBy("d").agg(
             F.sum(F.col("rank") / F.col("deg")).alias("c"))
         # mass of pages without out-links, as a scalar subquery (evaluated once per iteration)
-        m = ranks.join(outdeg.withColumnRenamed("src", "url"), "url", "left_anti").select(
+        m = ranks.join(outdeg.withColumnRenamed("s", "uid"), "uid", "left_anti").select(
             F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
-        ranks = nodes.join(contrib.withColumnRenamed("dst", "url"), "url", "left").select(
-            "url", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("c", F.lit(0.0)) + m / F.lit(float(n))))
+        ranks = nodes.join(contrib.withColumnRenamed("d", "uid"), "uid", "left").select(
+            "uid", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("c", F.lit(0.0)) + m / F.lit(float(n))))
             .alias("rank"))
         if i % cut_every == 0 or i == iterations:
             ranks = materialize(ranks, "pr_ranks")
-    return ranks
+    return ranks.join(ids, "uid").select("url", "rank")
 
 
 def orphan_pages(pages: DataFrame, edges: DataFrame) -> DataFrame:
