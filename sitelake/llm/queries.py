@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import exact_dedup, mixing, sharding, warc
+from sitelake.llm import bpe, exact_dedup, jaccard_join, mixing, order_minhash, sharding, toxicity, warc
 from sitelake.llm.shared import shared_path, table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file, unless SITELAKE_TOKENIZER names another."""
+    import public_tokenizers
+
+    return os.environ.get("SITELAKE_TOKENIZER") or public_tokenizers.path(name)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -26,6 +34,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"), index)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.shard_documents(docs, sharding.standard_tree(16), sharding.standard_tree(17))
@@ -35,6 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
 }
 
