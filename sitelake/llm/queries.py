@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import bpe, exact_dedup, jaccard_join, mixing, order_minhash, sharding, toxicity, warc
+from sitelake.llm import attention_lm, bpe, exact_dedup, jaccard_join, mixing, order_minhash, sharding, toxicity, warc
 from sitelake.llm.shared import shared_path, table
 
 
@@ -56,6 +56,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, sharding.standard_tree(16), sharding.standard_tree(17))
 
 
+def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
+    "op10_attention_lm": op10_attention_lm,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

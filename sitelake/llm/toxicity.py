@@ -209,7 +209,7 @@ class ToxicityModel:
                         hits[raw] = known
                     else:
                         plain.add(raw)
-            have = {f for raw in distinct & hits.keys() for f in hits[raw]}
+            have = {f for raw in distinct.intersection(hits) for f in hits[raw]}
             if _spelled(words):
                 have |= {f for w in reader.restore(words) for f in features(w) if f in weights}
             if len(plain) > 1_000_000 or len(hits) > 1_000_000:
