@@ -175,7 +175,7 @@ def _shared_tables(spark: SparkSession, path: str):
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, kept columns..., ids array<bigint>, n_tokens) of every row; null texts are empty and give no ids."""
+    """(doc_id, kept columns..., ids array<int>, n_tokens) of every row; null texts are empty and give no ids."""
     source = _shared_tables(docs.sparkSession, tokenizer_path)
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     kept = "".join(f", {c} {thin.schema[c].dataType.simpleString()}" for c in keep)
@@ -187,12 +187,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 batch = whole.slice(a, b - a)
                 ids = codec.encode([t or "" for t in batch.column(1).to_pylist()])
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int64)))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
                 count = pa.array([len(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists, count], ["doc_id", *keep, "ids", "n_tokens"])
 
     id_type = thin.schema["doc_id"].dataType.simpleString()
-    return thin.mapInArrow(run, f"doc_id {id_type}{kept}, ids array<bigint>, n_tokens bigint")
+    return thin.mapInArrow(run, f"doc_id {id_type}{kept}, ids array<int>, n_tokens bigint")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -9,10 +9,10 @@ each block leaves at most one open row, and the open rows of many blocks meet in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.llm.shared import Written, cut, uniform
+from sitelake.llm.shared import WORD_PATTERN, Written, cut, uniform
 
 BLOCK_ROWS = 128
 _FULL = 1e-9  # relative distance at which a mass counts as 0 or as the whole row
@@ -95,7 +95,7 @@ def mix(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Words that the mix takes from every row.
 
     ``rows``: doc_id, source, size (one row per document, repeats allowed). ``targets``: source, source_size, target.
-    Result: doc_id, source, size, source_size, target, copies, taken = copies * size. Copies of a row are the floor or
+    Result: doc_id, source, size, source_size, target, nth, copies, taken = copies * size. Copies of a row are the floor or
     the ceiling of target / source_size; a source's taken words differ from its target by less than the size of one
     row. Rows of size 0 take nothing; null is a source like any other; rows that repeat in id, source and size are told
     apart by a running number; an empty table gives an empty result. Draws come from md5 hashes, so reruns agree.
@@ -110,7 +110,7 @@ def mix(rows: DataFrame, targets: DataFrame) -> DataFrame:
     base = cut(thin.withColumn("open", (F.col("mass") > F.col("size") * _FULL) & (F.col("mass") < F.col("size") * (1 - _FULL))), "mix-rows")
 
     out = base.where(~F.col("open")).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "size", "source_size", "target", "nth",
         (F.col("whole") + F.when((F.col("size") > 0) & (F.col("mass") >= F.col("size") * 0.5), 1).otherwise(0)).alias("copies"),
     )
     unit = F.struct("doc_id", "nth", "size", "source_size", "target", "whole", "mass")
@@ -118,7 +118,7 @@ def mix(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
     def result(df: DataFrame, up: Column) -> DataFrame:
         return df.select(
-            F.col("u.doc_id"), "source", F.col("u.size"), F.col("u.source_size"), F.col("u.target"), (F.col("u.whole") + F.when(up, 1).otherwise(0)).alias("copies")
+            F.col("u.doc_id"), "source", F.col("u.size"), F.col("u.source_size"), F.col("u.target"), F.col("u.nth"), (F.col("u.whole") + F.when(up, 1).otherwise(0)).alias("copies")
         )
 
     level = 0
@@ -140,18 +140,14 @@ def mix(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, size: Column | None = None,
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
                   id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Mix whole documents: sources in code point order (null last) weigh ``weights`` in turn and share ``share`` times all words.
 
     Only the id, the source and the text are read; a null text has size 0. See ``mix`` for the rules of the result.
     """
-    from pyspark.sql import Window
-
-    from sitelake.llm.shared import WORD_PATTERN
-
-    size = size if size is not None else F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_PATTERN)), F.lit(0))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size")), "mix-sizes")
+    size = word_count(F.col(text_col))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # over the distinct sources alone
     turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
@@ -160,9 +156,26 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     return mix(rows, target_sizes(sums, total, cap))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of a mix: each row as often as its ``copies`` say, with its own columns (ids must be distinct)."""
-    copies = mixed.where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The documents of a mix: each row as often as its ``copies`` say, with its own columns.
+
+    Rows that share id, source and size are told apart by a running number, as in ``mix``.
+    """
+    copies = mix_documents(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).where("copies > 0")
+    copies = cut(copies.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size", "nth", "copies")]), "mix-copies")
     rows = docs.select(F.struct("*").alias("row"))
-    joined = rows.join(copies, F.col(f"row.{id_col}").eqNullSafe(F.col("mixed_id")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
+    rows = rows.select(
+        "row", F.col(f"row.{id_col}").alias("key_id"), F.col(f"row.{source_col}").alias("key_source"), word_count(F.col(f"row.{text_col}")).alias("key_size")
+    )
+    same = Window.partitionBy("key_id", "key_source", "key_size").orderBy(F.xxhash64(f"row.{text_col}"))
+    rows = rows.withColumn("key_nth", F.row_number().over(same).cast("long"))
+    on = F.lit(True)
+    for c, k in (("doc_id", "id"), ("source", "source"), ("size", "size"), ("nth", "nth")):
+        on = on & F.col(f"mix_{c}").eqNullSafe(F.col(f"key_{k}"))
+    joined = rows.join(copies, on)
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy")).select("row.*")
+
+
+def word_count(text: Column) -> Column:
+    """Words of a text (null: 0)."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

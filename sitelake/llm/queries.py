@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import attention_lm, bpe, exact_dedup, jaccard_join, mixing, order_minhash, sharding, toxicity, warc
+from sitelake.llm import attention_lm, bpe, exact_dedup, jaccard_join, mixing, order_minhash, sharding, substring_dedup, toxicity, warc
 from sitelake.llm.shared import shared_path, table
 
 
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.environ.get("SITELAKE_TOKENIZER") or public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -61,6 +65,7 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
