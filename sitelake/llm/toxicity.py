@@ -92,12 +92,9 @@ class Deobfuscator:
         self.model = model
         self.known: dict[str, str] = {}
 
-    def options(self, text: str, i: int) -> list[tuple[str, float, int]]:
-        """Arcs at position i: (letters meant, channel cost, characters used)."""
+    def options(self, text: str, i: int, run: int) -> list[tuple[str, float, int]]:
+        """Arcs at position i, where a run of equal characters begins or goes on: (letters meant, channel cost, characters used)."""
         c = text[i]
-        run = 1
-        while i + run < len(text) and text[i + run] == c:
-            run += 1
         meant = [(c, 0.0)] if c in self.model.symbol else [(x, LOOK_COST) for x in LOOK_ALIKE.get(c, "")]
         out = []
         for letter, cost in meant:
@@ -115,11 +112,12 @@ class Deobfuscator:
         """The restored text of least cost: Viterbi over (position, last two symbols)."""
         symbol, cost = self.model.symbol, self.model.cost
         best: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{} for _ in range(len(text) + 1)]
+        runs = run_lengths(text)
         best[0][(0, 0)] = (0.0, None)  # value: (cost, link); link: (letters, link before)
         for i in range(len(text)):
             if not best[i]:
                 continue
-            arcs = self.options(text, i)
+            arcs = self.options(text, i, runs[i])
             for (a, b), (so_far, link) in best[i].items():
                 for letters, channel, used in arcs:
                     x, y, total = a, b, so_far + channel
@@ -172,6 +170,15 @@ class Deobfuscator:
         return out
 
 
+def run_lengths(text: str) -> list[int]:
+    """How many equal characters follow from each position, its own included."""
+    out = [1] * len(text)
+    for i in range(len(text) - 2, -1, -1):
+        if text[i] == text[i + 1]:
+            out[i] = out[i + 1] + 1
+    return out
+
+
 def split_words(text: str | None) -> list[str]:
     return [w.decode() for w in (text or "").encode().split()]
 
