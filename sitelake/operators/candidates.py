@@ -43,7 +43,7 @@ def element_flags(nodes: DataFrame) -> DataFrame:
     els = elements(nodes)
     is_link = (F.col("tag") == "a") & (F.coalesce(F.try_element_at("attrs", F.lit("href")), F.lit("")) != "")
     is_region = F.col("tag").isin(*EXCLUDED_REGIONS)
-    after = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("page_id").orderBy(F.col("node_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
     nxt = F.min(F.when(is_link, F.col("node_id"))).over(after)
     reach = F.max(F.when(is_region, F.col("end_id"))).over(before)
@@ -54,10 +54,9 @@ def element_flags(nodes: DataFrame) -> DataFrame:
 def repeated_groups(nodes: DataFrame, min_repeat: int = 2) -> DataFrame:
     """(page, parent, selector) groups of sibling elements repeated at least ``min_repeat`` times."""
     f = element_flags(nodes).withColumn("selector", _group_key())
-    return f.groupBy("page_id", "domain", "parent_id", "selector").agg(
+    return f.groupBy("page_id", "domain", "parent_id", "selector", "excluded").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.count_if("has_link").alias("n_with_link"),
-        F.max(F.col("excluded").cast("int")).alias("excluded"),
     ).filter(F.col("n_items") >= min_repeat)
 
 
@@ -66,11 +65,10 @@ def candidate_cards(nodes: DataFrame, min_repeat: int = 2) -> DataFrame:
 
     A group qualifies when it repeats and every item wraps a link. Groups inside
     nav/header/footer are kept but flagged ``in_navigation`` and ranked after the
-    others. Columns: domain, selector, in_navigation, n_pages, n_cards, rank.
+    others, apart from the same selector's groups elsewhere. Columns: domain, selector, in_navigation, n_pages, n_cards, rank.
     """
     g = repeated_groups(nodes, min_repeat).filter(F.col("n_with_link") == F.col("n_items"))
-    per_site = g.groupBy("domain", "selector").agg(
-        (F.max("excluded") > 0).alias("in_navigation"),
+    per_site = g.groupBy("domain", "selector", F.col("excluded").alias("in_navigation")).agg(
         F.count_distinct("page_id").alias("n_pages"), F.sum("n_items").cast("long").alias("n_cards"))
     w = Window.partitionBy("domain").orderBy("in_navigation", F.col("n_pages").desc(), F.col("n_cards").desc(),
                                              "selector")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
-from .select import GLOBAL, first_match, match, text_of
+from .select import GLOBAL, compile_selectors, first_match, match, text_of
 from .shred import documents
 
 
@@ -35,11 +34,16 @@ def field_order(selectors: DataFrame) -> list[str]:
 
 
 def field_values(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Long form of V5: (page_id, scope, field, value) for non-empty selectors with a match."""
+    """Long form of V5: (page_id, scope, field, value) for non-empty selectors with a match.
+
+    A selector outside the supported grammar raises: an empty field would look like a page without it."""
     sel = _norm(selectors)
     queries = sel.filter(F.col("selector") != "").select("scope", "selector").distinct()
+    bad = [r["selector"] for r in compile_selectors(queries).filter(~F.col("valid")).select("selector").distinct().take(5)]
+    if bad:
+        raise ValueError(f"unsupported selectors, e.g. {bad}: V5 reads no field from them")
     firsts = text_of(first_match(match(nodes, queries)), nodes).select("page_id", "scope", "selector", "value")
-    return firsts.join(checked_broadcast(sel.select("scope", "selector", "field")), ["scope", "selector"]) \
+    return firsts.join(sel.select("scope", "selector", "field"), ["scope", "selector"]) \
         .select("page_id", "scope", "field", "value")
 
 
@@ -49,7 +53,7 @@ def pages_in_scope(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     scopes = _norm(selectors).select("scope").distinct()
     if scopes.filter(F.col("scope") == GLOBAL).limit(1).count() > 0:
         return docs
-    return docs.join(checked_broadcast(scopes.withColumnRenamed("scope", "domain")), "domain", "left_semi")
+    return docs.join(scopes.withColumnRenamed("scope", "domain"), "domain", "left_semi")
 
 
 def extract_fields(nodes: DataFrame, selectors: DataFrame, fields: list[str] | None = None) -> DataFrame:

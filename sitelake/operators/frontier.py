@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyword_score
 from ..functions.urls import domain
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize, release
 
 VISIT_COLS = ["seed_id", "seed_domain", "url", "depth", "parent", "path", "score"]
 
@@ -129,7 +129,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
     if threshold is not None and not keywords:
         threshold = None  # P7 applies only with a scorer
     if strategy == "best":
-        visits = _best_first(e, v0, max_depth, max_pages or 25, include_external, threshold, batch)
+        visits = _best_first(e, v0, max_depth, max_pages if max_pages is not None else 2**31 - 1, include_external, threshold, batch)
     elif not keep_tree:
         if strategy != "breadth" or max_pages is not None:
             raise ValueError("keep_tree=False needs strategy='breadth' without max_pages")
@@ -221,12 +221,24 @@ def _best_first(e, v0, max_depth, max_pages, include_external, threshold, batch)
         grown = grown.join(done, ["seed_id", "url"], "left_anti")
         rest = pool.join(pick.select("seed_id", "url"), ["seed_id", "url"], "left_anti")
         new_pool = _first_per_url(rest.unionByName(grown)).withColumn("visit_order", F.lit(None).cast("int"))
-        state = materialize(vis.unionByName(pick).unionByName(new_pool), "best")
+        old, state = state, materialize(vis.unionByName(pick).unionByName(new_pool), "best")
+        release(old)
         if state.filter(F.col("visit_order") == step + 1).isEmpty():
             break
     return state.filter(F.col("visit_order").isNotNull()).select(*VISIT_COLS, "visit_order")
 
 
+def with_added_links(pages: DataFrame, multipliers: tuple[tuple[int, int], ...] = ((7, 1), (3, 2))) -> DataFrame:
+    """``pages`` with links appended to the html: page i links to pages (a*i+b) mod n, n = max(page_id)+1.
+
+    Derived input for the crawl reports: the graph is then read from the html like any other.
+    """
+    e = synthetic_edges(pages, multipliers).groupBy(F.col("src").alias("url")).agg(F.sort_array(F.collect_list(F.struct("pos", "dst"))).alias("_l"))
+    quoted = lambda x: F.concat(F.lit('<a href="'), F.replace(F.replace(x["dst"], F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('">more</a>'))
+    added = F.coalesce(F.array_join(F.transform("_l", quoted), ""), F.lit(""))
+    return pages.join(e, "url", "left").select("page_id", "url", F.concat("html", added).alias("html"))
+
+
 def synthetic_edges(pages: DataFrame, multipliers: tuple[tuple[int, int], ...] = ((7, 1), (3, 2))) -> DataFrame:
     """Test graph derived from the page table: page i links to pages (a*i+b) mod n, n = max(page_id)+1.
 

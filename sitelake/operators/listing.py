@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import absolute_link
-from ..session import checked_broadcast
 from .links import resolve_hrefs
 from .select import GLOBAL, match
 
@@ -29,7 +28,7 @@ def card_links(nodes: DataFrame, listing: DataFrame) -> DataFrame:
     inside the card's interval. One window on page_id, no pairwise comparison.
     Columns: page_id, scope, card_pos, card_id, link_id, href (raw, may be '').
     """
-    q = checked_broadcast(_listing_queries(listing))
+    q = _listing_queries(listing)
     queries = q.select("scope", F.col("card").alias("selector")).unionByName(
         q.select("scope", F.col("link").alias("selector"))).distinct()
     m = match(nodes, queries).select("page_id", "scope", "selector", "node_id", "end_id", "attrs")
@@ -40,7 +39,9 @@ def card_links(nodes: DataFrame, listing: DataFrame) -> DataFrame:
         .select("page_id", "scope", F.col("selector").alias("link"), "node_id", "end_id", F.lit(0).alias("is_card"),
                 F.coalesce(F.try_element_at("attrs", F.lit("href")), F.lit("")).alias("href"))
     both = cards.unionByName(links)
-    after = Window.partitionBy("page_id", "scope", "link").orderBy("node_id", "is_card").rowsBetween(1, Window.unboundedFollowing)
+    # rows that follow a card in (node_id, cards last) order, as a running minimum from the end of the page
+    after = Window.partitionBy("page_id", "scope", "link").orderBy(F.col("node_id").desc(), F.col("is_card").desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
     nxt = F.min(F.when(F.col("is_card") == 0, F.struct(F.col("node_id").alias("id"), F.col("href").alias("href")))).over(after)
     c = both.withColumn("_next", nxt).filter(F.col("is_card") == 1)
     c = c.withColumn("card_pos", F.row_number().over(Window.partitionBy("page_id", "scope").orderBy("node_id")))
@@ -65,17 +66,18 @@ def extract_listing_links(nodes: DataFrame, listing: DataFrame) -> DataFrame:
 def bootstrap_product_page(nodes: DataFrame, listing: DataFrame, product: DataFrame | None = None) -> DataFrame:
     """V4: one product URL per site that has no product selector yet (J6 anti-join).
 
-    First card, first link with an href, made absolute with F6; the lowest
-    page_id wins when a site has several listing pages. Columns: domain, url.
+    The first card of the site's first listing page (lowest page_id) and its first link, made absolute with F6. If
+    that card has no link with an href the site gets no row: later cards are not tried. Columns: domain, url.
     """
-    cl = card_links(nodes, listing).filter(F.col("href").isNotNull() & (F.col("href") != ""))
+    cl = card_links(nodes, listing)
     docs = nodes.filter(F.col("kind") == "document").select("page_id", "domain")
     first = cl.join(docs, "page_id").groupBy("domain").agg(
-        F.min_by(F.col("href"), F.struct("page_id", "card_pos")).alias("href"))
+        F.min_by(F.struct("href"), F.struct("page_id", "card_pos")).alias("_f")).select("domain", F.col("_f.href").alias("href"))
+    first = first.filter(F.coalesce(F.col("href"), F.lit("")) != "")
     out = first.select("domain", absolute_link(F.col("domain"), F.col("href")).alias("url"))
     if product is not None:
         have = product.select(F.col("scope").alias("domain")).distinct()
-        out = out.join(checked_broadcast(have), "domain", "left_anti")
+        out = out.join(have, "domain", "left_anti")
     return out
 
 
@@ -93,7 +95,7 @@ def missing_selectors(pages: DataFrame, selectors: DataFrame, kind: str = "produ
     from ..functions.urls import domain as url_domain
     have = selectors.filter(F.col("kind") == kind).select(F.col("scope").alias("domain")).distinct()
     per_site = pages.groupBy(url_domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n_pages"))
-    return per_site.join(checked_broadcast(have), "domain", "left_anti")
+    return per_site.join(have, "domain", "left_anti")
 
 
 def with_progress(df: DataFrame, group: str, order: str) -> DataFrame:

@@ -256,13 +256,16 @@ def compile_selectors(queries: DataFrame) -> DataFrame:
     return q.mapInArrow(_compile_batches, STEP_SCHEMA)
 
 
-def _terms(els: DataFrame) -> DataFrame:
+def _terms(els: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per element and index term; with ``keys`` only those terms leave the element."""
     terms = F.array_distinct(F.flatten(F.array(
         F.array(F.lit("*"), F.concat(F.lit("t:"), F.col("tag"))),
         F.transform("classes", lambda c: F.concat(F.lit("c:"), c)),
         F.when(F.col("id").isNotNull(), F.array(F.concat(F.lit("#"), F.col("id")))).otherwise(F.array().cast("array<string>")),
         F.transform(F.map_keys("attrs"), lambda a: F.concat(F.lit("a:"), a)),
     )))
+    if keys is not None:
+        terms = F.array_intersect(terms, F.array(*[F.lit(k) for k in keys]))
     return els.withColumn("term", F.explode(terms))
 
 
@@ -296,6 +299,8 @@ def _step_predicate():
     )
 
 
+# index terms that are tested as a literal array before the explode; more are left to the join
+LITERAL_KEYS = 1_000
 MATCH_COLS = ["page_id", "scope", "selector", "node_id", "end_id", "parent_id", "depth", "tag", "id",
               "classes", "attrs", "text", "text_lo", "text_hi"]
 
@@ -325,7 +330,8 @@ def match(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     s = steps.select(
         "scope", "selector", "alt", "step_no", "n_steps", "comb", F.col("tag").alias("s_tag"),
         F.col("ids").alias("s_ids"), F.col("classes").alias("s_classes"), F.col("attrs").alias("s_attrs"), "key")
-    terms = _terms(elements(nodes))
+    keys = sorted({r["key"] for r in head if r["key"] is not None}) if bcast else []
+    terms = _terms(elements(nodes), keys if 0 < len(keys) <= LITERAL_KEYS else None)
     parts = []
     if stats["g"] > 0:
         g = s.filter(F.col("scope") == GLOBAL)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ustrip
-from ..session import checked_broadcast
 from .extract import pages_in_scope
 from .links import resolve_hrefs
 from .select import GLOBAL, first_match, match
@@ -36,11 +35,11 @@ def validate_selectors(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     suf = suffixes(selectors)
     queries = suf.filter(F.col("suffix") != "").select("scope", F.col("suffix").alias("selector")).distinct()
     hits = match(nodes, queries).select("page_id", "scope", F.col("selector").alias("suffix")).distinct()
-    found = hits.join(checked_broadcast(suf), ["scope", "suffix"])
+    found = hits.join(suf, ["scope", "suffix"])
     # First valid suffix = smallest k
     best = found.groupBy("page_id", "scope", "field").agg(F.min_by("suffix", "k").alias("validated"))
     base = pages_in_scope(nodes, selectors).select("page_id", "domain", "url")
-    sel = checked_broadcast(suf.filter(F.col("k") == 0).select("scope", "field", "ord", "selector"))
+    sel = suf.filter(F.col("k") == 0).select("scope", "field", "ord", "selector")
     per_page = _pages_with_selectors(base, sel)
     out = per_page.join(best, ["page_id", "scope", "field"], "left")
     return out.select("page_id", "url", "scope", "field", "ord", "selector",
@@ -49,11 +48,9 @@ def validate_selectors(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
 
 def _pages_with_selectors(base: DataFrame, sel: DataFrame) -> DataFrame:
     """(page, selector row) pairs: site rows join on domain; global rows are one small record
-    (checked) exploded as literals on every page, so no join is needed for them."""
+    (its fields) exploded as literals on every page, so no join is needed for them."""
     site = base.join(sel.filter(F.col("scope") != GLOBAL), base["domain"] == sel["scope"]).drop("domain")
-    rows = sel.filter(F.col("scope") == GLOBAL).select("field", "ord", "selector").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a global selector record has more than 10,000 fields")
+    rows = sel.filter(F.col("scope") == GLOBAL).select("field", "ord", "selector").collect()
     if not rows:
         return site
     rec = F.array(*[F.struct(F.lit(r["field"]).alias("field"), F.lit(r["ord"]).cast("int").alias("ord"),
@@ -75,9 +72,13 @@ def variant_fields(nodes: DataFrame, record: DataFrame, size_field: str = "size"
     firsts = first_match(match(nodes, cont.select("scope", "selector").distinct()))
     firsts = firsts.join(cont, ["page_id", "scope", "selector"]).select(
         "page_id", F.col("node_id").alias("c_lo"), F.col("end_id").alias("c_hi"))
-    opts = elements(nodes).filter(F.col("tag").isin(*OPTION_TAGS)).select("page_id", "node_id")
+    opts = elements(nodes).filter(F.col("tag").isin(*OPTION_TAGS)).select("page_id", "node_id", "end_id")
+    # an option element inside another one (li > a) is the same option: outermost ones count
+    before = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max("end_id").over(before) >= F.col("node_id"), F.lit(False))
     # options inside the container interval; the container table has one row per page
-    n = opts.join(firsts, "page_id").filter((F.col("node_id") > F.col("c_lo")) & (F.col("node_id") <= F.col("c_hi"))) \
+    held = opts.join(firsts, "page_id").filter((F.col("node_id") > F.col("c_lo")) & (F.col("node_id") <= F.col("c_hi")))
+    n = held.withColumn("_in", inside).filter(~F.col("_in")) \
         .groupBy("page_id").agg(F.count(F.lit(1)).alias("n_options"))
     out = record.join(n, "page_id", "left").withColumn("n_options", F.coalesce("n_options", F.lit(0)))
     keep = F.col("n_options") >= 2
@@ -104,7 +105,7 @@ def selector_report(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     m = match(nodes, s.filter(F.col("selector") != "").select("scope", "selector").distinct())
     counts = m.groupBy("page_id", "scope", "selector").agg(F.count(F.lit(1)).alias("n"))
     base = pages_in_scope(nodes, selectors).select("page_id", "domain", "url")
-    pairs = _pages_with_selectors(base, checked_broadcast(s.withColumn("ord", F.lit(0))))
+    pairs = _pages_with_selectors(base, s.withColumn("ord", F.lit(0)))
     j = pairs.join(counts, ["page_id", "scope", "selector"], "left")
     return j.groupBy("scope", "field", "selector").agg(
         F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("n").isNotNull()).alias("n_pages_matched"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators.extract import extract_fields, selectors_frame
-from ..operators.frontier import crawl, synthetic_edges
+from ..operators.frontier import crawl, with_added_links
 from ..operators.links import extract_links, first_occurrence, link_scope_lists
 from ..operators.candidates import candidate_cards as _candidate_cards
 from ..operators.listing import extract_listing_links
@@ -23,7 +23,7 @@ from ..plans.jobs import clean_pages, crawl_artifacts
 from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors
 from ..operators.shred import shred
 from ..reports import site as R
-from ..sources.pages import read_pages
+from ..sources.pages import read_page_urls, read_pages
 from ..sources.sitemaps import expand_index, sitemap_diff as _sitemap_diff, sitemap_urls, sitemaps_from_pages
 
 # Fixed parameters of the registered queries.
@@ -38,8 +38,13 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without their html, for queries over URLs alone."""
+    return read_page_urls(spark, f"{sf_dir}/pages.parquet")
+
+
 def url_keys(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = _urls(spark, sf_dir)
     return p.select("page_id", "url", U.domain("url").alias("domain"), U.domain_folder("url").alias("domain_folder"),
                     U.slug("url").alias("slug"), U.page_folder("url").alias("page_folder"),
                     U.is_http_url("url").alias("is_http"))
@@ -47,7 +52,7 @@ def url_keys(spark, sf_dir):
 
 def slug_collisions(spark, sf_dir):
     """(domain, slug) keys shared by different URLs (the reference's file overwrite)."""
-    p = _pages(spark, sf_dir).select(U.domain("url").alias("domain"), U.slug("url").alias("slug"), "url")
+    p = _urls(spark, sf_dir).select(U.domain("url").alias("domain"), U.slug("url").alias("slug"), "url")
     g = p.groupBy("domain", "slug").agg(F.count_distinct("url").alias("n_urls"), F.min("url").alias("first_url"),
                                         F.max("url").alias("last_url"))
     return g.filter(F.col("n_urls") > 1)
@@ -117,8 +122,6 @@ def keyword_rank(spark, sf_dir):
 
 # Crawl parameters of the reference: breadth (depth 20, 2 pages, internal), depth (depth 10,
 # 50 pages, internal), best-first (depth 3, 25 pages, external allowed, keyword scorer, weight 0.7).
-CRAWL_KEYWORDS = ["en", "blog", "page"]
-
 
 def _visits_out(v, *extra):
     return v.select("seed_id", "url", F.col("depth").cast("long").alias("depth"), "parent",
@@ -135,29 +138,26 @@ def frontier_breadth(spark, sf_dir):
     return _visits_out(v)
 
 
-def frontier_depths(spark, sf_dir):
-    """G2 without budget on the graph derived from page ids: shortest depth per (seed, url)."""
-    pages = _pages(spark, sf_dir)
-    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
-    v = crawl(synthetic_edges(pages), seeds, "breadth", max_depth=20, include_external=True, keep_tree=False)
-    return v.select("seed_id", "url", F.col("depth").cast("long").alias("depth"))
+def landed_edges(pages: DataFrame) -> DataFrame:
+    """Links between landed pages, read from the html of ``pages`` with two links to other pages added to each.
 
+    The driver's pages link only to URLs that are not landed; the added links make their html a connected site.
+    """
+    return R.landed_links(extract_links(shred(with_added_links(pages))), pages)
 
-def frontier_best(spark, sf_dir):
-    """G3 (reference limits) on the graph derived from page ids."""
-    pages = _pages(spark, sf_dir)
-    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
-    v = crawl(synthetic_edges(pages), seeds, "best", max_depth=3, max_pages=25, include_external=True,
-              keywords=CRAWL_KEYWORDS, weight=SCORE_WEIGHT, pages=pages)
-    return _visits_out(v, "score")
+
+def site_seeds(pages: DataFrame) -> DataFrame:
+    """One seed per site: its page with the smallest id."""
+    first = pages.groupBy(U.domain("url").alias("domain")).agg(F.min(F.struct("page_id", "url")).alias("p"))
+    return first.select(F.col("p.page_id").alias("seed_id"), F.col("p.url").alias("url"))
 
 
-def frontier_depth_first(spark, sf_dir):
-    """G4 (reference limits) on the graph derived from page ids."""
+def frontier_depths(spark, sf_dir):
+    """G2 without budget from each site's first page, over links between landed pages: shortest depth per (seed, url)."""
     pages = _pages(spark, sf_dir)
-    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
-    v = crawl(synthetic_edges(pages), seeds, "depth", max_depth=10, max_pages=50, include_external=False, pages=pages)
-    return _visits_out(v)
+    seeds = site_seeds(pages)
+    v = crawl(landed_edges(pages), seeds, "breadth", max_depth=20, include_external=True, keep_tree=False)
+    return v.select("seed_id", "url", F.col("depth").cast("long").alias("depth"))
 
 
 OVERSCOPED_SELECTORS = {"title": "div.main article h1", "ad": "body div.ad", "footer": "section > footer",
@@ -195,7 +195,7 @@ def sitemap_products(spark, sf_dir):
     """V7: site indexes -> child sitemaps -> locs -> landed pages (J5) -> fields; sitemap duplicates kept."""
     pages = _pages(spark, sf_dir)
     docs = sitemaps_from_pages(pages)
-    locs = expand_index(docs).filter(F.col("child_pos") > 0)
+    locs = expand_index(docs)
     fields = extract_fields(shred(pages), selectors_frame(spark, FLAGSHIP_SELECTORS))
     j = locs.join(fields, locs["loc"] == fields["url"])
     return j.select("sitemap_url", F.col("pos").cast("long").alias("pos"), *FLAGSHIP_SELECTORS.keys(), "url")
@@ -203,7 +203,7 @@ def sitemap_products(spark, sf_dir):
 
 def sitemap_diff(spark, sf_dir):
     """Sitemap locs (canonical page URLs) against the landed URLs."""
-    pages = _pages(spark, sf_dir)
+    pages = _urls(spark, sf_dir)
     return _sitemap_diff(sitemap_urls(sitemaps_from_pages(pages)), pages)
 
 
@@ -237,8 +237,8 @@ def artifact_long(spark, sf_dir):
 
 
 def page_rank(spark, sf_dir):
-    """O1: PageRank (20 iterations, damping 0.85) on the graph derived from page ids."""
-    return R.page_rank(synthetic_edges(_pages(spark, sf_dir)))
+    """O1: PageRank (20 iterations, damping 0.85) over the links between landed pages."""
+    return R.page_rank(landed_edges(_pages(spark, sf_dir)))
 
 
 def orphan_pages(spark, sf_dir):
@@ -248,10 +248,10 @@ def orphan_pages(spark, sf_dir):
 
 
 def depth_distribution(spark, sf_dir):
-    """O3: visits per depth of the unbudgeted breadth crawl from every page (derived graph)."""
+    """O3: visits per depth of the unbudgeted breadth crawl from each site's first page."""
     pages = _pages(spark, sf_dir)
-    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
-    v = crawl(synthetic_edges(pages), seeds, "breadth", max_depth=20, include_external=True, keep_tree=False)
+    seeds = site_seeds(pages)
+    v = crawl(landed_edges(pages), seeds, "breadth", max_depth=20, include_external=True, keep_tree=False)
     return R.depth_distribution(v).select(F.col("depth").cast("long").alias("depth"), "n_visits", "n_seeds")
 
 
@@ -300,8 +300,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_rank": keyword_rank,
     "frontier_breadth": frontier_breadth,
     "frontier_depths": frontier_depths,
-    "frontier_best": frontier_best,
-    "frontier_depth_first": frontier_depth_first,
     "validated_selectors": validated_selectors,
     "selector_report": selector_report,
     "pagination_next": pagination_next,

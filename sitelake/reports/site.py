@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.shred import documents, elements
-from ..session import materialize
+from ..session import materialize, release
 
 # Technology rules (name, category, regex over the raw HTML). Public, well-known
 # markers; extend by passing another list.
@@ -54,6 +54,7 @@ def page_rank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut
     outdeg = materialize(outdeg, "pr_outdeg")
     nodes = ids.select("uid")
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    last = None
     for i in range(1, iterations + 1):
         contrib = links.join(ranks.withColumnRenamed("uid", "s"), "s").groupBy("d").agg(
             F.sum(F.col("rank") / F.col("deg")).alias("c"))
@@ -64,10 +65,18 @@ def page_rank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut
             "uid", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("c", F.lit(0.0)) + m / F.lit(float(n))))
             .alias("rank"))
         if i % cut_every == 0 or i == iterations:
-            ranks = materialize(ranks, "pr_ranks")
+            old, ranks = last, materialize(ranks, "pr_ranks")
+            last = ranks
+            if old is not None:
+                release(old)
     return ranks.join(ids, "uid").select("url", "rank")
 
 
+def landed_links(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """The edges (src, dst, pos) whose target is a landed page."""
+    return edges.select("src", "dst", "pos").join(pages.select(F.col("url").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "pos")
+
+
 def orphan_pages(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """O2: landed pages no link points to."""
     return pages.select("page_id", "url").join(edges.select(F.col("dst").alias("url")).distinct(), "url", "left_anti")

@@ -1,4 +1,4 @@
-"""Session helpers: local session for tests/bench, checkpoint folder, checked broadcast."""
+"""Session helpers: local session for tests/bench, checkpoint folder, materialized tables."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast; above it the join shuffles on its keys.
+# Selector steps that may be taken through the driver and broadcast; above it the join shuffles on its keys.
 BROADCAST_ROW_LIMIT = 200_000
 
 
@@ -54,16 +53,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True if ``df`` has at most ``limit`` rows; reads at most limit+1 rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when the row count is proven bounded, else the frame as is."""
-    return F.broadcast(df) if small_enough(df, limit) else df
-
-
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Cut lineage: write ``df`` once as parquet under the checkpoint folder and read it back.
 
@@ -77,4 +66,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/sitelake-{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.sitelake_path = path  # for release()
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later plan reads (others are left alone)."""
+    for df in tables:
+        path = getattr(df, "sitelake_path", None)
+        if path:
+            jpath = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -7,8 +7,9 @@ one file per page: the reference's `<date>/<domain>/<kind>/<file>` folders becom
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions.text import exclude_tags
 from ..functions.urls import domain, domain_folder, page_folder, slug
@@ -22,6 +23,17 @@ def _date(run_date) -> Column:
     return F.to_date(F.lit(run_date)) if isinstance(run_date, str) else run_date
 
 
+def _replace(df: DataFrame, *keys: str, files: int = 8) -> DataFrameWriter:
+    """Writer partitioned by ``keys`` that replaces only the partitions in ``df`` (none for an empty frame).
+
+    Rows are dealt out by the keys and one of ``files`` parts, so a small site is a few files and a large one is not
+    written by a single task.
+    """
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType, MapType)]), F.lit(files))
+    dealt = df.withColumn("_part", part).repartition(*keys, "_part").drop("_part")
+    return dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+
+
 # -- K1 / K2 / V8: raw and clean layers -------------------------------------
 
 def page_layers(pages: DataFrame, run_date) -> DataFrame:
@@ -35,8 +47,7 @@ def page_layers(pages: DataFrame, run_date) -> DataFrame:
 
 def write_layers(layers: DataFrame, path: str) -> None:
     """K1: parquet partitioned by layer/date/domain; only the partitions written are replaced."""
-    layers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("layer", "date", "domain").parquet(path)
+    _replace(layers, "layer", "date", "domain").parquet(path)
 
 
 def layer_fallback(layers: DataFrame) -> DataFrame:
@@ -61,11 +72,11 @@ def write_products_csv(products: DataFrame, path: str, fields: list[str], run_do
     nothing, rows ended by CRLF (the bytes of Python's csv writer).
 
     Rows go to their own URL's domain; ``run_domain`` sends all rows to one folder
-    as the reference did (D9). With no rows nothing is written.
+    as the reference did (D9). Only the sites that have rows are replaced; with no rows nothing is written.
     """
     dom = F.lit(run_domain) if run_domain else domain(F.col("url"))
     out = products.select(*[F.col(f"`{f}`") for f in fields], "url", dom.alias("domain"))
-    out.write.mode("overwrite").partitionBy("domain").option("header", True).option("escape", '"') \
+    _replace(out, "domain").option("header", True).option("escape", '"') \
         .option("emptyValue", "").option("encoding", "UTF-8").option("lineSep", "\r\n").csv(path)
 
 
@@ -80,7 +91,8 @@ def selector_json(rows: DataFrame) -> DataFrame:
 
 
 def write_selectors(rows: DataFrame, path: str) -> None:
-    selector_json(rows).write.mode("overwrite").partitionBy("domain", "kind").text(path)
+    """K4: one JSON text per site and kind (read back by ``read_selectors``); other sites' records stay."""
+    _replace(selector_json(rows), "domain", "kind").text(path)
 
 
 # -- K5-K11: crawl artifacts --------------------------------------------------
@@ -114,19 +126,17 @@ def artifacts(results: DataFrame, run_date) -> DataFrame:
 
 def write_artifacts(arts: DataFrame, path: str) -> None:
     """K5-K10 layout: partitioned by date / domain folder / kind."""
-    arts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("date", "domain_folder", "kind").parquet(path)
+    _replace(arts, "date", "domain_folder", "kind").parquet(path)
 
 
 # -- O10: per-site sitemap and link files ---------------------------------------------
 
 def write_sitemap_docs(docs: DataFrame, path: str) -> None:
     """Sitemap documents (sitemap_url, xml) as text, one folder per site."""
-    docs.select(domain(F.col("sitemap_url")).alias("domain"), "xml").write.mode("overwrite") \
-        .partitionBy("domain").text(path)
+    _replace(docs.select(domain(F.col("sitemap_url")).alias("domain"), "xml"), "domain").text(path)
 
 
 def write_link_lists(lists: DataFrame, path: str) -> None:
     """G5 lists (page_id, scope, n_links, links) as JSON lines per site and scope
     (the all / internal / external files of the layout comment)."""
-    lists.write.mode("overwrite").partitionBy("domain", "scope").json(path)
+    _replace(lists, "domain", "scope").json(path)

@@ -52,15 +52,23 @@ def records_to_rows(records: DataFrame) -> DataFrame:
 
 
 def read_selectors(spark: SparkSession, root: str) -> DataFrame:
-    """<root>/<domain>/{product,listing}_selector.json -> selector rows; domain from the folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", "*_selector.json").text(root) \
+    """Selector rows of stored records, in either layout; the domain comes from the folder.
+
+    ``<root>/<domain>/{product,listing}_selector.json`` is one record a file; ``<root>/domain=<d>/kind=<k>/part-*`` is what
+    ``write_selectors`` (K4) writes, one record a line.
+    """
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root) \
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
     parts = F.split(F.col("path"), "/")
     fname = F.element_at(parts, -1)
-    recs = raw.select(F.element_at(parts, -2).alias("scope"),
-                      F.when(fname == KIND_FILES["listing"], F.lit("listing")).otherwise(F.lit("product")).alias("kind"),
-                      "json")
+    named = raw.filter(fname.isin(*KIND_FILES.values())).select(
+        F.element_at(parts, -2).alias("scope"),
+        F.when(fname == KIND_FILES["listing"], F.lit("listing")).otherwise(F.lit("product")).alias("kind"), "json")
+    written = r"/domain=([^/]+)/kind=([^/]+)/part-[^/]+$"
+    lines = raw.filter(F.col("path").rlike(written)).select(
+        F.url_decode(F.regexp_extract("path", written, 1)).alias("scope"), F.regexp_extract("path", written, 2).alias("kind"),
+        F.explode(F.split("json", "\n")).alias("json")).filter(F.col("json") != "")
+    recs = named.unionByName(lines)
     return records_to_rows(recs)
 
 

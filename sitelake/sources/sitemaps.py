@@ -19,10 +19,18 @@ MAX_URLS_PER_SITEMAP = 50_000
 _SCHEMA = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
 
 
-def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """Landed sitemap files -> (sitemap_url = file path, xml)."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path) \
-        .select(F.col("_metadata.file_path").alias("sitemap_url"), F.col("value").alias("xml"))
+def read_sitemap_files(spark: SparkSession, path: str, scheme: str = "https") -> DataFrame:
+    """Landed sitemap files -> (sitemap_url, xml).
+
+    Files under ``<root>/<domain>/<path>`` get the URL ``scheme://<domain>/<path>``, so an index finds its landed children;
+    files directly under the root keep their file path.
+    """
+    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    # what follows the last "/<root>/" in the file's path: domain/path
+    rest = F.substring_index(F.col("_metadata.file_path"), f"/{root}/", -1)
+    url = F.when(rest.contains("/"), F.concat(F.lit(f"{scheme}://"), rest)).otherwise(F.col("_metadata.file_path"))
+    return df.select(url.alias("sitemap_url"), F.col("value").alias("xml"))
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
@@ -52,7 +60,7 @@ def sitemap_children(docs: DataFrame) -> DataFrame:
 
 def expand_index(docs: DataFrame) -> DataFrame:
     """S3 + T4: URLs of the child sitemaps of each index (one level), joined to the landed
-    child documents; plus the URLs of documents that are urlsets themselves.
+    child documents; plus the URLs of urlsets that no landed index names.
 
     Columns: root (index or sitemap url), sitemap_url, child_pos, pos, loc.
     """
@@ -63,10 +71,27 @@ def expand_index(docs: DataFrame) -> DataFrame:
     via_index = k.join(u, "child_url").select(
         F.col("index_url").alias("root"), F.col("child_url").alias("sitemap_url"), "child_pos",
         F.col("_pos").alias("pos"), F.col("_loc").alias("loc"))
-    direct = urls.select(F.col("sitemap_url").alias("root"), "sitemap_url", F.lit(0).alias("child_pos"), "pos", "loc")
+    own = urls.join(kids.select(F.col("child_url").alias("sitemap_url")).distinct(), "sitemap_url", "left_anti")
+    direct = own.select(F.col("sitemap_url").alias("root"), "sitemap_url", F.lit(0).alias("child_pos"), "pos", "loc")
     return direct.unionByName(via_index)
 
 
+def numbered(df: DataFrame, group: str, order: str, ranges: int = 64) -> DataFrame:
+    """``n``: 1-based number of each row within ``group`` by ``order`` (a number), without one task per group.
+
+    ``order`` is cut into ranges of about equal counts; rows are numbered within (group, range) and moved by the sizes of
+    the ranges before. Ties are numbered in an order of their own choosing.
+    """
+    cuts = sorted(set(df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []))
+    bound = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    d = df.withColumn("_part", F.size(F.filter(bound, lambda c: c < F.col(order))))
+    sizes = d.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(group, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order))
+    return d.join(sizes, [group, "_part"]).withColumn("n", F.col("_before") + within).drop("_part", "_before")
+
+
 def xml_escape(c):
     """Entity-escape text for an XML element (the protocol requires it for '&', '<', '>', quotes)."""
     for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;")):
@@ -76,13 +101,12 @@ def xml_escape(c):
 
 def sitemaps_from_pages(pages: DataFrame, chunk: int = MAX_URLS_PER_SITEMAP) -> DataFrame:
     """Sitemap documents for landed pages: per site, urlsets of at most ``chunk`` canonical URLs
-    (fragment removed; blocks of page_id so no group exceeds the protocol limit) and one index.
+    (fragment removed; the site's URLs are numbered in page_id order) and indexes of at most ``chunk`` urlsets.
 
-    Columns: sitemap_url, xml.
+    The first index is ``sitemap_index.xml``, further ones ``sitemap_index-<k>.xml``. Columns: sitemap_url, xml.
     """
-    p = pages.select("page_id", domain("url").alias("domain"),
-                     F.regexp_replace("url", "#.*$", "").alias("loc"),
-                     F.floor(F.col("page_id") / chunk).cast("long").alias("chunk"))
+    p = pages.select("page_id", domain("url").alias("domain"), F.regexp_replace("url", "#.*$", "").alias("loc"))
+    p = numbered(p, "domain", "page_id").withColumn("chunk", F.floor((F.col("n") - 1) / chunk).cast("long"))
     entry = F.concat(F.lit("<url><loc>"), xml_escape(F.col("loc")), F.lit("</loc></url>"))
     sets = p.groupBy("domain", "chunk").agg(
         F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("_l"))
@@ -91,8 +115,10 @@ def sitemaps_from_pages(pages: DataFrame, chunk: int = MAX_URLS_PER_SITEMAP) ->
     urlsets = sets.select(set_url.alias("sitemap_url"), "domain", "chunk", F.concat(
         F.lit(f'<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="{SITEMAP_NS}">'),
         F.array_join(F.transform("_l", lambda x: x["e"]), ""), F.lit("</urlset>")).alias("xml"))
-    idx = urlsets.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("chunk", "sitemap_url"))).alias("_c"))
-    index = idx.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap_index.xml")).alias("sitemap_url"),
+    part = F.floor(F.col("chunk") / chunk).cast("long")
+    idx = urlsets.groupBy("domain", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("chunk", "sitemap_url"))).alias("_c"))
+    name = F.when(F.col("part") == 0, F.lit("/sitemap_index.xml")).otherwise(F.concat(F.lit("/sitemap_index-"), F.col("part").cast("string"), F.lit(".xml")))
+    index = idx.select(F.concat(F.lit("https://"), F.col("domain"), name).alias("sitemap_url"),
                        F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="{SITEMAP_NS}">'),
                                 F.array_join(F.transform("_c", lambda x: F.concat(
                                     F.lit("<sitemap><loc>"), xml_escape(x["sitemap_url"]), F.lit("</loc></sitemap>"))), ""),

@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.extract import extract_fields
 from ..operators.shred import shred
-from ..session import ensure_checkpoint_dir
 from ..sources.pages import keep_fetched
 
 PAGE_SCHEMA = "page_id long, url string, html string"
@@ -29,10 +28,12 @@ def page_stream(spark: SparkSession, landing: str, fmt: str = "parquet", max_fil
 
 
 def stream_fields(spark: SparkSession, landing: str, selectors: DataFrame, sink: str,
-                  checkpoint: str | None = None, available_now: bool = True, fmt: str = "parquet") -> StreamingQuery:
-    """Run V5 on every micro-batch of newly landed pages and append the rows to ``sink``."""
+                  checkpoint: str, available_now: bool = True, fmt: str = "parquet") -> StreamingQuery:
+    """Run V5 on every micro-batch of newly landed pages and append the rows to ``sink``.
+
+    ``checkpoint`` is the query's own folder in shared storage; it must stay the same over restarts, so there is no
+    default."""
     fields = [r["field"] for r in selectors.groupBy("field").agg(F.min("ord").alias("o")).orderBy("o").collect()]
-    ckpt = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/sitelake-stream-fields"
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
         nodes = shred(batch)
@@ -42,6 +43,6 @@ def stream_fields(spark: SparkSession, landing: str, selectors: DataFrame, sink:
         finally:
             nodes.unpersist()
 
-    w = page_stream(spark, landing, fmt).writeStream.foreachBatch(run_batch).option("checkpointLocation", ckpt)
+    w = page_stream(spark, landing, fmt).writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

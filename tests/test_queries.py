@@ -7,7 +7,7 @@ import pytest
 from oracle_check import digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["pages"]
+TABLES = ["pages", "documents", "labels"]
 
 
 @pytest.fixture(scope="module")
