@@ -47,15 +47,11 @@ def validate_selectors(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
 
 
 def _pages_with_selectors(base: DataFrame, sel: DataFrame) -> DataFrame:
-    """(page, selector row) pairs: site rows join on domain; global rows are one small record
-    (its fields) exploded as literals on every page, so no join is needed for them."""
+    """(page, selector row) pairs: site rows join on domain; the global record is one array of fields (a scalar
+    subquery) that every page explodes, so no join is needed for it."""
     site = base.join(sel.filter(F.col("scope") != GLOBAL), base["domain"] == sel["scope"]).drop("domain")
-    rows = sel.filter(F.col("scope") == GLOBAL).select("field", "ord", "selector").collect()
-    if not rows:
-        return site
-    rec = F.array(*[F.struct(F.lit(r["field"]).alias("field"), F.lit(r["ord"]).cast("int").alias("ord"),
-                             F.lit(r["selector"]).alias("selector")) for r in rows])
-    glob = base.select("page_id", "url", F.lit(GLOBAL).alias("scope"), F.explode(rec).alias("_s")) \
+    record = sel.filter(F.col("scope") == GLOBAL).agg(F.collect_list(F.struct("field", "ord", "selector"))).scalar()
+    glob = base.select("page_id", "url", F.lit(GLOBAL).alias("scope"), F.explode(record).alias("_s")) \
         .select("page_id", "url", "scope", "_s.*")
     return site.select("page_id", "url", "scope", "field", "ord", "selector").unionByName(glob)
 

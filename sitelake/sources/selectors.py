@@ -65,8 +65,9 @@ def read_selectors(spark: SparkSession, root: str) -> DataFrame:
         F.element_at(parts, -2).alias("scope"),
         F.when(fname == KIND_FILES["listing"], F.lit("listing")).otherwise(F.lit("product")).alias("kind"), "json")
     written = r"/domain=([^/]+)/kind=([^/]+)/part-[^/]+$"
+    # the folder name escapes the domain, and the file's path escapes that once more
     lines = raw.filter(F.col("path").rlike(written)).select(
-        F.url_decode(F.regexp_extract("path", written, 1)).alias("scope"), F.regexp_extract("path", written, 2).alias("kind"),
+        F.url_decode(F.url_decode(F.regexp_extract("path", written, 1))).alias("scope"), F.regexp_extract("path", written, 2).alias("kind"),
         F.explode(F.split("json", "\n")).alias("json")).filter(F.col("json") != "")
     recs = named.unionByName(lines)
     return records_to_rows(recs)
