@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import domain, with_resolved_url
-from .shred import documents, elements
+from .shred import documents, elements, link_rows
 
 
 def base_hrefs(nodes: DataFrame) -> DataFrame:
@@ -44,6 +44,13 @@ def extract_links(nodes: DataFrame) -> DataFrame:
     return e.select("page_id", F.col("url").alias("src"), "pos", "node_id", "href", "dst", scope.alias("scope"))
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """G1 edges straight from the pages: the columns of ``extract_links`` without a node table or a shuffle."""
+    e = link_rows(pages)
+    scope = F.when(domain(F.col("dst")) == F.col("domain"), F.lit("internal")).otherwise(F.lit("external"))
+    return e.select("page_id", F.col("url").alias("src"), "pos", "node_id", "href", "dst", scope.alias("scope"))
+
+
 def first_occurrence(edges: DataFrame, key: str = "page_id", url: str = "dst", pos: str = "pos") -> DataFrame:
     """A2: one row per (key, url) keeping the first position (dedupe keeping first)."""
     return edges.groupBy(key, url).agg(F.min(pos).alias(pos))

@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators.extract import extract_fields, selectors_frame
 from ..operators.frontier import crawl, with_added_links
-from ..operators.links import extract_links, first_occurrence, link_scope_lists
+from ..operators.links import first_occurrence, link_scope_lists, page_links
 from ..operators.candidates import candidate_cards as _candidate_cards
 from ..operators.listing import extract_listing_links
 from ..operators.render import page_markdown as _page_markdown, page_metadata as _page_metadata
@@ -65,14 +65,12 @@ def field_h1_title(spark, sf_dir):
 
 
 def link_edges(spark, sf_dir):
-    nodes = shred(_pages(spark, sf_dir))
-    e = extract_links(nodes)
+    e = page_links(_pages(spark, sf_dir))
     return e.select("page_id", "src", F.col("pos").cast("long").alias("pos"), "href", "dst", "scope")
 
 
 def first_links(spark, sf_dir):
-    nodes = shred(_pages(spark, sf_dir))
-    f = first_occurrence(extract_links(nodes))
+    f = first_occurrence(page_links(_pages(spark, sf_dir)))
     return f.select("page_id", "dst", F.col("pos").cast("long").alias("pos"))
 
 
@@ -86,16 +84,15 @@ def card_links(spark, sf_dir):
 
 def link_scope_counts(spark, sf_dir):
     """G5 list sizes per page and scope ('all', 'internal', 'external')."""
-    nodes = shred(_pages(spark, sf_dir))
-    return link_scope_lists(extract_links(nodes)).select("page_id", "scope", "n_links")
+    return link_scope_lists(page_links(_pages(spark, sf_dir))).select("page_id", "scope", "n_links")
 
 
 def domain_summary(spark, sf_dir):
     """A3: pages and links found per site."""
-    nodes = shred(_pages(spark, sf_dir))
-    e = extract_links(nodes).groupBy("page_id").agg(
+    pages = _pages(spark, sf_dir)
+    e = page_links(pages).groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("scope") == "internal").alias("n_internal"))
-    docs = nodes.filter(F.col("kind") == "document").select("page_id", "domain", "url")
+    docs = pages.select("page_id", U.domain("url").alias("domain"), "url")
     j = docs.join(e, "page_id", "left")
     return j.groupBy("domain").agg(
         F.count(F.lit(1)).alias("n_pages"),
@@ -113,8 +110,7 @@ def clean_html(spark, sf_dir):
 
 def keyword_rank(spark, sf_dir):
     """F12 + W4: per page the TOP_K links by keyword score (ties: link position)."""
-    nodes = shred(_pages(spark, sf_dir))
-    e = extract_links(nodes).withColumn("score", T.keyword_score(F.col("dst"), KEYWORDS, SCORE_WEIGHT))
+    e = page_links(_pages(spark, sf_dir)).withColumn("score", T.keyword_score(F.col("dst"), KEYWORDS, SCORE_WEIGHT))
     w = Window.partitionBy("page_id").orderBy(F.col("score").desc(), F.col("pos"))
     r = e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP_K)
     return r.select("page_id", F.col("rank").cast("long").alias("rank"), "dst", "score")
@@ -131,8 +127,7 @@ def _visits_out(v, *extra):
 def frontier_breadth(spark, sf_dir):
     """G2 over the pages' own links, every page a seed (reference limits)."""
     pages = _pages(spark, sf_dir)
-    nodes = shred(pages)
-    edges = extract_links(nodes).select("src", "dst", "pos")
+    edges = page_links(pages).select("src", "dst", "pos")
     seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
     v = crawl(edges, seeds, "breadth", max_depth=20, max_pages=2, include_external=False, pages=pages)
     return _visits_out(v)
@@ -143,7 +138,7 @@ def landed_edges(pages: DataFrame) -> DataFrame:
 
     The driver's pages link only to URLs that are not landed; the added links make their html a connected site.
     """
-    return R.landed_links(extract_links(shred(with_added_links(pages))), pages)
+    return R.landed_links(page_links(with_added_links(pages)), pages)
 
 
 def site_seeds(pages: DataFrame) -> DataFrame:
@@ -244,7 +239,7 @@ def page_rank(spark, sf_dir):
 def orphan_pages(spark, sf_dir):
     """O2: landed pages that no landed page links to."""
     pages = _pages(spark, sf_dir)
-    return R.orphan_pages(pages, extract_links(shred(pages)))
+    return R.orphan_pages(pages, page_links(pages))
 
 
 def depth_distribution(spark, sf_dir):
@@ -257,7 +252,7 @@ def depth_distribution(spark, sf_dir):
 
 def hub_pages(spark, sf_dir):
     """Top 10 pages by out-degree over the pages' own links."""
-    h = R.hub_pages(extract_links(shred(_pages(spark, sf_dir))), 10)
+    h = R.hub_pages(page_links(_pages(spark, sf_dir)), 10)
     return h.select("url", F.col("out_degree").cast("long").alias("out_degree"),
                     F.col("in_degree").cast("long").alias("in_degree"), F.col("rank").cast("long").alias("rank"))
 
@@ -265,7 +260,7 @@ def hub_pages(spark, sf_dir):
 def broken_links(spark, sf_dir):
     """Internal links whose target is not a landed page."""
     pages = _pages(spark, sf_dir)
-    b = R.broken_links(extract_links(shred(pages)), pages)
+    b = R.broken_links(page_links(pages), pages)
     return b.select("page_id", F.col("pos").cast("long").alias("pos"), "dst")
 
 
@@ -273,7 +268,7 @@ def seo_summary(spark, sf_dir):
     """O7 + O8: per-domain coverage of SEO signals and the weighted score."""
     pages = _pages(spark, sf_dir)
     nodes = shred(pages)
-    e = extract_links(nodes)
+    e = page_links(pages)
     landed = pages.select(F.col("url").alias("dst")).distinct().withColumn("_l", F.lit(True))
     e = e.join(landed, "dst", "left").withColumn("broken", (F.col("scope") == "internal") & F.col("_l").isNull())
     s = R.seo_summary(R.seo_signals(nodes), e)

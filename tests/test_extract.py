@@ -77,3 +77,16 @@ def test_selector_records(spark):
     assert got["b.com"][0] == ("name", "h1") and len(got["b.com"]) == len(PRODUCT_KEYS)
     assert "c.com" not in got
     assert got["d.com"] == [("product_card", ".c"), ("product_link", "a"), ("error", ""), ("pagination", "")]
+
+
+def test_page_links_equal_the_node_table_links(spark, pages_df):
+    """The direct link parse and the node table give the same edges, with and without base."""
+    from sitelake.operators.links import extract_links, page_links
+    from sitelake.operators.shred import shred
+    pages = pages_df([
+        ("http://a.com/d/1", '<base href="/e/"><base href="/f/"><a href="x">1</a><a>2</a><a href="">3</a><p><a href="http://b.com/">4</a>'),
+        ("http://a.com/d/2", '<base><a href="x">1</a><base href=""><a href="#f">2</a>'),
+        ("http://a.com/3", "no links"), ("http://a.com/4", "<base href><a href=y>z</a>")])
+    one, two = (sorted(map(tuple, f.collect()), key=str) for f in (page_links(pages), extract_links(shred(pages))))
+    assert one == two and len(one) == 5
+    assert "Exchange" not in page_links(pages)._jdf.queryExecution().executedPlan().toString()
