@@ -83,8 +83,8 @@ def card_links(spark, sf_dir):
 
 
 def link_scope_counts(spark, sf_dir):
-    """G5 list sizes per page and scope ('all', 'internal', 'external')."""
-    return link_scope_lists(page_links(_pages(spark, sf_dir))).select("page_id", "scope", "n_links")
+    """G5 per page and scope ('all', 'internal', 'external'): list size and the ordered links, one per line."""
+    return link_scope_lists(page_links(_pages(spark, sf_dir))).select("page_id", "scope", "n_links", F.array_join("links", "\n").alias("links"))
 
 
 def domain_summary(spark, sf_dir):
@@ -217,10 +217,10 @@ def page_markdown(spark, sf_dir):
 
 
 def clean_layers(spark, sf_dir):
-    """V8 + K1 table: raw and clean layer keys and sizes of every page."""
+    """V8 + K1 table: raw and clean layer keys, sizes and digests of every page."""
     l = clean_pages(_pages(spark, sf_dir), RUN_DATE)
     return l.select("url", "layer", F.col("date").cast("string").alias("date"), "domain", "slug",
-                    F.length("html").cast("long").alias("n_chars"))
+                    F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("html_md5"))
 
 
 def artifact_long(spark, sf_dir):
