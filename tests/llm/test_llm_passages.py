@@ -170,3 +170,38 @@ def test_fingerprint_cases(spark, docs):
     check(spark, rows, docs(rows))
     check(spark, rows[:1], docs(rows[:1]))
     assert order_minhash.fingerprints(docs(rows).limit(0)).collect() == []
+
+
+# ---- recall of edited passages -------------------------------------------------------------------------------
+
+
+def edited(rng, words, errors, tag):
+    """The words with so many of them changed, at random places."""
+    out = list(words)
+    for at in rng.sample(range(len(out)), errors):
+        out[at] = f"{tag}{rng.randrange(10**9)}"
+    return out
+
+
+def linked(rows):
+    return {frozenset((r["doc_id"], r["other_id"])) for r in rows}
+
+
+def test_edited_pairs_are_found(spark, docs):
+    """Pairs of texts with a passage of 60 or 100 words, edited down to identity 0.8; ends are words that agree, so the passage is as long as planted."""
+    rng = random.Random(11)
+    rows, pairs = [], {}
+    for size in (60, 100):
+        for identity in (0.95, 0.92, 0.9, 0.88, 0.85, 0.83, 0.8):
+            for _ in range(40):
+                passage = text_of(rng, size, "p")
+                errors = int(size * (1 - identity) + 1e-9)
+                other = [*passage[:4], *edited(rng, passage[4:-4], errors, "c"), *passage[-4:]]
+                i = len(rows)
+                rows += [(i, " ".join(text_of(rng, 30, "x") + passage + text_of(rng, 30, "x"))), (i + 1, " ".join(text_of(rng, 90, "y") + other))]
+                pairs.setdefault((size, identity), set()).add(frozenset((i, i + 1)))
+    got = linked(substring_dedup.repeated_passages(docs(rows)).select("doc_id", "other_id").collect())
+    found = {k: len(v & got) / len(v) for k, v in pairs.items()}
+    print("recall", found)
+    assert not got - set().union(*pairs.values())
+    assert all(v == 1.0 for v in found.values()), found
