@@ -205,3 +205,21 @@ def test_edited_pairs_are_found(spark, docs):
     print("recall", found)
     assert not got - set().union(*pairs.values())
     assert all(v == 1.0 for v in found.values()), found
+
+
+def test_groups_of_edited_copies_are_found(spark, docs):
+    """Each copy of a passage edited by itself: every document is reported, in one of the columns."""
+    rng = random.Random(12)
+    rows, groups = [], {}
+    for share in (0.04, 0.06, 0.08):
+        for size in (30, 30, 30, 300):
+            passage = text_of(rng, 60, "g")
+            for _ in range(size):
+                groups.setdefault(share, set()).add(len(rows))
+                copy = [w if rng.random() >= share or not 4 <= k < 56 else f"c{rng.randrange(10**9)}" for k, w in enumerate(passage)]
+                rows.append((len(rows), " ".join(text_of(rng, 20, "x") + copy + text_of(rng, 20, "x"))))
+    got = substring_dedup.repeated_passages(docs(rows)).select("doc_id", "other_id").collect()
+    seen = {i for r in got for i in r}
+    lost = {share: len(ids - seen) / len(ids) for share, ids in groups.items()}
+    print("lost", lost)
+    assert not any(lost.values()), lost
