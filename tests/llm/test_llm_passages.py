@@ -223,3 +223,10 @@ def test_groups_of_edited_copies_are_found(spark, docs):
     lost = {share: len(ids - seen) / len(ids) for share, ids in groups.items()}
     print("lost", lost)
     assert not any(lost.values()), lost
+
+
+def test_a_short_phrase_does_not_hide_a_passage():
+    """A shared phrase that outscores an edited passage and lies out of order with it."""
+    pos, other = [*range(10), 200, 222], [*range(1000, 1010), 300, 322]
+    spans = [(c[0][0], c[-1][0] + c[-1][2]) for c in substring_dedup.chains(np.array(pos), np.array(other))]
+    assert any(a == 200 and b > 222 for a, b in spans), spans
