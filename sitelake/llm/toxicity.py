@@ -36,6 +36,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 LOOK_COST, DROP_COST, KEEP_RUN_COST, SQUEEZE_COST = 1.5, 1.0, 1.0, 0.5
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_LOOK = re.escape("".join(c for c in LOOK_ALIKE if not c.isalnum()))
+_EDGE_BUT_LOOK_ALIKE = re.compile(rf"^(?:(?![{_LOOK}])[\W_])+|(?:(?![{_LOOK}])[\W_])+$")
 _STRETCHED = re.compile(r"(.)\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -90,10 +92,12 @@ class Deobfuscator:
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
 
-    def options(self, text: str, i: int, run: int) -> list[tuple[str, float, int]]:
-        """Arcs at position i, where a run of equal characters begins or goes on: (letters meant, channel cost, characters used)."""
+    def options(self, text: str, i: int, run: int, drop: bool = True) -> list[tuple[str, float, int]]:
+        """Arcs at position i, where a run of equal characters begins or goes on: (letters meant, channel cost, characters used).
+
+        Without ``drop``, a look-alike always stands for a letter."""
         c = text[i]
         meant = [(c, 0.0)] if c in self.model.symbol else [(x, LOOK_COST) for x in LOOK_ALIKE.get(c, "")]
         out = []
@@ -102,13 +106,13 @@ class Deobfuscator:
             if run >= 2:  # a stretched letter: the whole run is one or two letters
                 out.append((letter, cost + SQUEEZE_COST, run))
                 out.append((letter * 2, cost + KEEP_RUN_COST, run))
-        if c in SEPARATORS or c in LOOK_ALIKE or not meant:
+        if c in SEPARATORS or (c in LOOK_ALIKE and drop) or not meant:
             out.append(("", DROP_COST, 1))
             if c == " ":
                 out.append((" ", 0.0, 1))
         return out
 
-    def decode(self, text: str) -> str:
+    def decode(self, text: str, drop: bool = True) -> str:
         """The restored text of least cost: Viterbi over (position, last two symbols)."""
         symbol, cost = self.model.symbol, self.model.cost
         best: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{} for _ in range(len(text) + 1)]
@@ -117,7 +121,7 @@ class Deobfuscator:
         for i in range(len(text)):
             if not best[i]:
                 continue
-            arcs = self.options(text, i, runs[i])
+            arcs = self.options(text, i, runs[i], drop)
             for (a, b), (so_far, link) in best[i].items():
                 for letters, channel, used in arcs:
                     x, y, total = a, b, so_far + channel
@@ -140,19 +144,31 @@ class Deobfuscator:
         return "".join(reversed(parts)).strip()
 
     def word(self, raw: str) -> str:
-        """One white-space word, restored; plain words only lose their edges' punctuation and their case."""
+        """One white-space word, restored; plain words only lose their edges' punctuation and their case.
+
+        Look-alikes at the edges stay for the lattice, which may drop them (boat!) or not ($h!+)."""
         low = raw.lower()
         core = _EDGE.sub("", low)
-        front = low[: low.find(core)] if core else ""
-        if front and front[-1] in LOOK_ALIKE:  # $tupid
-            core = front[-1] + core
-        if (core.isalpha() and not _STRETCHED.search(core)) or not _LETTER.search(core):
+        if not _LETTER.search(core):
             return core
-        if core not in self.known:
+        wide = _EDGE_BUT_LOOK_ALIKE.sub("", low)
+        return wide if wide.isalpha() and not _STRETCHED.search(wide) else self.remembered(wide, True)
+
+    def literal(self, raw: str) -> str:
+        """A second reading of a word with look-alikes, in which each of them stands for a letter (a$$, 455); empty for other words."""
+        wide = _EDGE_BUT_LOOK_ALIKE.sub("", raw.lower())
+        return self.remembered(wide, False) if len(wide) > 1 and not LOOK_ALIKE.keys().isdisjoint(wide) else ""
+
+    def remembered(self, text: str, drop: bool) -> str:
+        if (text, drop) not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[core] = self.decode(core)
-        return self.known[core]
+            self.known[text, drop] = self.decode(text, drop)
+        return self.known[text, drop]
+
+    def readings(self, words: list[str]) -> list[str]:
+        """The restored words of a text and the second readings of its words."""
+        return self.restore(words) + [x for raw in words for x in self.literal(raw).split()]
 
     def restore(self, words: list[str]) -> list[str]:
         """All words of a text; runs of three or more single letters are read together as spelled-out words."""
@@ -203,7 +219,7 @@ class ToxicityModel:
         hits: dict[str, list[str]] = {}  # written words with some
 
         def found(raw: str) -> list[str]:
-            return [f for w in reader.word(raw).split() for f in features(w) if f in weights]
+            return [f for w in [*reader.word(raw).split(), *reader.literal(raw).split()] for f in features(w) if f in weights]
 
         def score(text: str | None) -> float:
             nonlocal plain
@@ -269,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen = (Counter(), Counter())
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update({f for w in reader.restore(split_words(text)) for f in features(w)})
+                seen[toxic].update({f for w in reader.readings(split_words(text)) for f in features(w)})
         for toxic in (0, 1):
             names = list(seen[toxic])
             for i in range(0, len(names), 50_000):
@@ -296,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         reader = Deobfuscator(CharModel(counts))
         for batch in batches:
             found = [
-                sorted({place[f] for w in reader.restore(split_words(t)) for f in features(w) if f in place}) for t in batch.column(1).to_pylist()
+                sorted({place[f] for w in reader.readings(split_words(t)) for f in features(w) if f in place}) for t in batch.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "hits"])
 

@@ -96,6 +96,18 @@ def test_deobfuscation():
     assert reader.restore([]) == []
 
 
+def test_look_alikes_at_the_edges():
+    text = "  ass asshole shit the that this hell idiot boat less with a late class cost "
+    table, n = toxicity.CharModel.symbol_table(), toxicity.CharModel.size
+    s = [int(table[ord(c)]) for c in text]
+    counts = collections.Counter((a * n + b) * n + c for a, b, c in zip(s, s[1:], s[2:], strict=False))
+    reader = toxicity.Deobfuscator(toxicity.CharModel({k: 50 * v for k, v in counts.items()}))
+    for written, meant in (("a$$", "ass"), ("a$$.", "ass"), ("@$$", "ass"), ("@$$hole", "asshole"), ("$h!+", "shit"), ("455", "ass"), ("idio+", "idiot"),
+                           ("he||", "hell"), ("boat!", "boat"), ("(boat)", "boat"), ("455", "455")):
+        assert meant in reader.readings([written]), (written, reader.readings([written]))
+    assert reader.readings(["boat", "...", "(", "class."]) == ["boat", "class"]
+
+
 def test_viterbi_finds_the_least_cost():
     """The decoder agrees with a search over every path of the lattice."""
     model = char_model()
