@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -99,6 +100,8 @@ class Deobfuscator:
 
         Without ``drop``, a look-alike always stands for a letter."""
         c = text[i]
+        if c not in self.model.symbol and (c.isalpha() or unicodedata.category(c)[0] == "M"):  # letters of other scripts stay as they are
+            return [(c, 0.0, 1)]
         meant = [(c, 0.0)] if c in self.model.symbol else [(x, LOOK_COST) for x in LOOK_ALIKE.get(c, "")]
         out = []
         for letter, cost in meant:
@@ -126,7 +129,7 @@ class Deobfuscator:
                 for letters, channel, used in arcs:
                     x, y, total = a, b, so_far + channel
                     for letter in letters:
-                        s = symbol.get(letter, 0)
+                        s = symbol.get(letter, 0 if letter == " " else self.model.size - 1)
                         total += cost[x, y, s]
                         x, y = y, s
                     old = best[i + used].get((x, y))

@@ -108,6 +108,12 @@ def test_look_alikes_at_the_edges():
     assert reader.readings(["boat", "...", "(", "class."]) == ["boat", "class"]
 
 
+def test_letters_of_other_scripts_stay():
+    reader = toxicity.Deobfuscator(char_model())
+    for written, meant in (("你好,世界", "你好世界"), ("谢谢,你", "谢谢你"), ("żółw-łódź", "żółwłódź"), ("по-русски", "порусски"), ("हिंद,नगर", "हिंदनगर")):
+        assert reader.word(written) == meant, written
+
+
 def test_viterbi_finds_the_least_cost():
     """The decoder agrees with a search over every path of the lattice."""
     model = char_model()
