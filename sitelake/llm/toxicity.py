@@ -4,7 +4,8 @@ A noisy-channel decoder restores disguised words first. The letters that a write
 written characters: look-alike digits and symbols, separators inside a word, spelled-out letters and stretched
 repetitions. Viterbi search over the lattice maximises channel cost plus a character trigram model that is counted over
 the whole corpus. Words and word beginnings of the restored text are then scored by a logistic model, which is fitted on
-a bounded sample of labelled rows.
+a bounded sample of labelled rows, both classes with the same total weight. Its bias is then moved so that a score of
+0.5 is the cut that splits the classes best in scores from models that did not see the row.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +28,7 @@ from sitelake.llm.shared import cut, hash52
 SAMPLE_PER_LABEL = 8_000  # labelled rows of each class that the classifier is fitted on, at most
 FEATURES = 2_000  # words and word beginnings that the classifier knows
 PREFIXES = (3, 4, 5)
+FOLDS = 4  # parts of the sample, each scored by a model of the others to find the cut
 
 # Letters that a look-alike stands for.
 LOOK_ALIKE = {
@@ -317,17 +320,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [
                 sorted({place[f] for w in reader.readings(split_words(t)) for f in features(w) if f in place}) for t in batch.column(1).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "hits"])
+            fold = [zlib.crc32((t or "").encode()) % FOLDS for t in batch.column(1).to_pylist()]  # copies of a text share a fold
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fold, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "fold", "hits"])
 
-    table = train.mapInArrow(hits, "toxic int, hits array<int>").toArrow()
-    weights, bias = logistic(table.column("toxic").to_pylist(), table.column("hits").to_pylist(), len(names))
-    bias += prior - math.log(pos / neg)  # the sample has its own class balance
+    table = train.mapInArrow(hits, "toxic int, fold int, hits array<int>").toArrow()
+    toxic, fold, known = (table.column(c).to_pylist() for c in ("toxic", "fold", "hits"))
+    weights, bias = logistic(toxic, known, len(names))
+    bias -= balanced_cut(toxic, out_of_fold(toxic, known, fold, len(names)))
     return ToxicityModel(counts, {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}, float(bias))
 
 
 def logistic(labels: list[int], hits: list[list[int]], n: int, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse 0/1 features by accelerated gradient descent; the classes weigh the same."""
+    """Logistic regression on sparse 0/1 features by accelerated gradient descent; both classes have the same total weight."""
     y = np.array(labels, dtype=float)
+    pos = y.sum()
+    share = np.where(y == 1, 0.5 / max(pos, 1.0), 0.5 / max(len(y) - pos, 1.0))  # of each row in the loss
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     col = np.array([c for h in hits for c in h], dtype=np.int64)
     # the step fits the largest row norm, so the descent is stable
@@ -337,13 +344,38 @@ def logistic(labels: list[int], hits: list[list[int]], n: int, rounds: int = 400
     for t in range(rounds):
         wn, bn = w + 0.9 * v, bias + 0.9 * vb
         z = bn + np.bincount(row, weights=wn[col], minlength=len(y))
-        gap = 1.0 / (1.0 + np.exp(-z)) - y
-        g = np.bincount(col, weights=gap[row], minlength=n) / len(y) + ridge * wn
-        v, vb = 0.9 * v - step * g, 0.9 * vb - step * gap.mean()
+        gap = share * (1.0 / (1.0 + np.exp(-z)) - y)
+        g = np.bincount(col, weights=gap[row], minlength=n) + ridge * wn
+        v, vb = 0.9 * v - step * g, 0.9 * vb - step * gap.sum()
         w, bias = w + v, bias + vb
     return w, bias
 
 
+def out_of_fold(labels: list[int], hits: list[list[int]], fold: list[int], n: int) -> np.ndarray:
+    """Log odds of every row under a model fitted on the rows of the other folds."""
+    at = np.array(fold)
+    out = np.zeros(len(at))
+    for f in range(FOLDS):
+        inside, outside = np.flatnonzero(at == f), np.flatnonzero(at != f)
+        w, bias = logistic([labels[i] for i in outside], [hits[i] for i in outside], n)
+        out[inside] = [bias + w[hits[i]].sum() for i in inside]
+    return out
+
+
+def balanced_cut(labels: list[int], odds: np.ndarray) -> float:
+    """The log odds that split the classes best: the least sum of both error shares, in the middle of the gap where it lies."""
+    y = np.array(labels)[np.argsort(odds, kind="stable")]
+    ranked = np.sort(odds, kind="stable")
+    pos, neg = max(1, int(y.sum())), max(1, int((y == 0).sum()))
+    # cutting before place i: positives below it are missed, negatives from it on are rejected
+    missed = np.concatenate([[0], np.cumsum(y == 1)]) / pos
+    rejected = 1.0 - np.concatenate([[0], np.cumsum(y == 0)]) / neg
+    edge = np.concatenate([[ranked[0] - 1.0], (ranked[1:] + ranked[:-1]) / 2, [ranked[-1] + 1.0]])
+    real = np.concatenate([[True], ranked[1:] > ranked[:-1], [True]])  # equal odds are not split
+    cost = np.where(real, missed + rejected, np.inf)
+    return float(edge[int(np.argmin(cost))])
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 

@@ -166,6 +166,21 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if not r["predicted"]}
 
 
+def test_predicted_splits_the_held_out_rows_of_the_given_labels(spark):
+    """Classes of very unequal size: the cut at 0.5 must still find the toxic rows and leave the others alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score_documents(docs, toxicity.fit(docs, labels)).where("held_out").join(labels, "doc_id").collect()
+    share = {t: [r["predicted"] for r in got if r["toxic"] == t] for t in (0, 1)}
+    assert len(share[1]) > 50
+    assert sum(share[1]) >= 0.9 * len(share[1]) and sum(share[0]) <= 0.1 * len(share[0])
+
+
+def test_the_cut_lies_between_the_classes():
+    assert toxicity.balanced_cut([0, 0, 0, 1, 1], np.array([-2.0, -1.0, 0.0, 3.0, 4.0])) == 1.5
+    assert -1 < toxicity.balanced_cut([0] * 50 + [1] * 5, np.array([-1.0] * 49 + [5.0] + [1.0] * 5)) < 1  # one stray negative does not move it
+    assert toxicity.balanced_cut([0, 1], np.array([2.0, 2.0])) in (1.0, 3.0)
+
+
 def test_toxicity_cases(spark, docs):
     _, _, labels = labelled(spark, docs, 20)
     rows = [(1, None), (2, ""), (None, "stupid"), (2, "boat"), (2, "boat"), (4, "w " * 100_000)]
