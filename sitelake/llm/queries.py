@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import attention_lm, bpe, exact_dedup, jaccard_join, mixing, order_minhash, sharding, substring_dedup, toxicity, warc
+from sitelake.llm import attention_lm, bpe, exact_dedup, jaccard_join, merkle, mixing, order_minhash, sharding, substring_dedup, toxicity, warc
 from sitelake.llm.shared import shared_path, table
 
 
@@ -64,6 +64,10 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -75,12 +79,74 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_attention_lm": op10_attention_lm,
+    "op12_merkle": op12_merkle,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text in DuckDB, which lacks it: bytes are mixed in one after the other, each followed by eight shifts."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: list_concat([ord(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    fold = "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), {fold}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 7, top_levels: int = 4) -> str:
+    """Trees of up to 8 ** levels leaves and 8 ** top_levels languages, level by level; then every leaf's way up."""
+
+    def enc(x: str) -> str:
+        return f"coalesce(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(enc(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    tampered = f"translate(text, '{UPPER}', '{LOWER}')"
+    ctes = [
+        f"""d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, {_crc32("doc_id::VARCHAR")} % 3 = 0 AS hit, {leaf(tampered)} AS low FROM documents)""",
+        """l AS (SELECT doc_id, leaf, CASE WHEN hit THEN low ELSE leaf END AS cur, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+               row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d)""",
+        "n0 AS (SELECT tree, idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM l)",
+    ]
+
+    def up(nodes: str, sibs: str, above: str) -> None:
+        run = "PARTITION BY tree, idx // 8 ORDER BY idx ROWS BETWEEN"
+        ctes.append(
+            f"""{sibs} AS (SELECT tree, idx, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+                coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {nodes} WHERE n > 1)"""
+        )
+        ctes.append(
+            f"""{above} AS (SELECT tree, idx, h, count(*) OVER (PARTITION BY tree) AS n FROM (
+                SELECT tree, idx // 8 AS idx, sha256(string_agg(h, '' ORDER BY idx)) AS h FROM {nodes} WHERE n > 1 GROUP BY 1, 2
+                UNION ALL SELECT tree, idx, h FROM {nodes} WHERE n = 1))"""
+        )
+
+    for k in range(levels):
+        up(f"n{k}", f"s{k}", f"n{k + 1}")
+    ctes.append(f"t0 AS (SELECT 0 AS tree, tree AS idx, h, count(*) OVER () AS n FROM n{levels})")
+    for k in range(top_levels):
+        up(f"t{k}", f"u{k}", f"t{k + 1}")
+    ctes.append("w0 AS (SELECT doc_id, leaf, tree, idx, cur, '' AS proof FROM l)")
+    for k in range(levels):
+        ctes.append(
+            f"""w{k + 1} AS (SELECT doc_id, leaf, w.tree, w.idx // 8 AS idx, CASE WHEN s.a IS NULL THEN cur ELSE sha256(s.a || cur || s.b) END AS cur,
+                proof || coalesce(s.a || s.b, '') AS proof FROM w{k} w LEFT JOIN s{k} s ON s.tree = w.tree AND s.idx = w.idx)"""
+        )
+    ctes.append(f"x0 AS (SELECT doc_id, leaf, t.h AS subroot, w.tree AS idx, cur, proof FROM w{levels} w JOIN t0 t ON t.idx = w.tree)")
+    for k in range(top_levels):
+        ctes.append(
+            f"""x{k + 1} AS (SELECT doc_id, leaf, subroot, x.idx // 8 AS idx, CASE WHEN s.a IS NULL THEN cur ELSE sha256(s.a || cur || s.b) END AS cur,
+                proof || coalesce(s.a || s.b, '') AS proof FROM x{k} x LEFT JOIN u{k} s ON s.idx = x.idx)"""
+        )
+    return (
+        "WITH " + ",\n".join(ctes) + f"""
+        SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = t.h AS verified
+        FROM x{top_levels}, t{top_levels} t"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle": _merkle_sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
