@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import attention_lm, bpe, exact_dedup, jaccard_join, merkle, mixing, order_minhash, sharding, substring_dedup, toxicity, warc
+from sitelake.llm import attention_lm, bpe, contamination, exact_dedup, jaccard_join, merkle, mixing, order_minhash, sharding, substring_dedup, toxicity, warc
 from sitelake.llm.shared import shared_path, table
 
 
@@ -64,6 +64,10 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_attention_lm": op10_attention_lm,
+    "op11_decontamination": op11_decontamination,
     "op12_merkle": op12_merkle,
 }
 
@@ -145,7 +150,22 @@ def _merkle_sql(levels: int = 7, top_levels: int = 4) -> str:
     )
 
 
+_LOW_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{contamination.WORD}')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOW_WORDS} AS ws FROM documents),
+        i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_LOW_WORDS} AS ws FROM benchmark),
+        iw AS (SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[s : s + least(10, len(ws)) - 1], ' ') AS g
+               FROM i, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(s) WHERE len(ws) > 0),
+        dw AS (SELECT r, s, k, array_to_string(ws[s : s + k - 1], ' ') AS g
+               FROM d, (SELECT DISTINCT k FROM iw), unnest(range(1, greatest(len(ws) - k + 1, 0) + 1)) t(s)),
+        hit AS (SELECT r, s, dw.k, item FROM dw JOIN iw ON dw.g = iw.g AND dw.k = iw.k),
+        places AS (SELECT r, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + k)) u(p) GROUP BY r),
+        names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)""",
     "op12_merkle": _merkle_sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
