@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import attention_lm, bpe, contamination, exact_dedup, jaccard_join, merkle, mixing, order_minhash, sharding, substring_dedup, toxicity, warc
+from sitelake.llm import attention_lm, bpe, contamination, exact_dedup, jaccard_join, merkle, mixing, order_minhash, ranked_search, sharding, substring_dedup, toxicity, warc
 from sitelake.llm.shared import shared_path, table
 
 
@@ -72,6 +72,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_attention_lm": op10_attention_lm,
     "op11_decontamination": op11_decontamination,
     "op12_merkle": op12_merkle,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -152,6 +157,8 @@ def _merkle_sql(levels: int = 7, top_levels: int = 4) -> str:
 
 _LOW_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{contamination.WORD}')"
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
     "op11_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOW_WORDS} AS ws FROM documents),
@@ -167,6 +174,18 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)""",
     "op12_merkle": _merkle_sql(),
+    "op13_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+        total AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS length FROM d WHERE len(ws) > 0),
+        i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ws FROM benchmark),
+        it AS (SELECT DISTINCT i, item_id, unnest(ws) AS t FROM i),
+        tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM it) GROUP BY r, t),
+        w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t, n_docs),
+        m AS (SELECT r, doc_id, 50 + (50 * len(ws)::BIGINT * n_docs) // length AS m FROM d, total WHERE len(ws) > 0),
+        s AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+              FROM it JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
