@@ -67,6 +67,7 @@ class _Shredder(HTMLParser):
         self._pieces = []        # stripped text pieces of the page
         self._offset = 0
         self._pending = []       # consecutive character data, merged into one string
+        self._blanks = set()     # ids of the nodes that white space alone stands before
         doc = [0, 0, None, 0, "document", None, None, None, None, None, 0, 0]
         self._rows.append(doc)
         self._stack.append(doc)
@@ -89,6 +90,7 @@ class _Shredder(HTMLParser):
         self._pending = []
         piece = data.strip()
         if not piece:
+            self._blanks.add(len(self._rows))
             return
         nid = len(self._rows)
         parent = self._stack[-1]
@@ -264,6 +266,41 @@ def link_rows(pages: DataFrame) -> DataFrame:
     return src.mapInArrow(_link_batches, "page_id long, domain string, url string, pos int, node_id int, href string, dst string")
 
 
+PAGE_ELEMENT = "struct<node_id:int,end_id:int,parent_id:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,text:string>"
+
+
+def page_elements(pages: DataFrame, tags: list[str], text: list[str] = ()) -> DataFrame:
+    """(page_id, domain, url, els): one row per page with its elements of ``tags`` in document order, no shuffle or cache.
+
+    For jobs that need few elements of a page and read them inside the row. ``text`` names the tags whose text (F10) is
+    wanted; it is null for the others.
+    """
+    wanted, texts = frozenset(tags), frozenset(text)
+    kind = pa.struct([("node_id", pa.int32()), ("end_id", pa.int32()), ("parent_id", pa.int32()), ("tag", pa.string()), ("id", pa.string()),
+                      ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
+
+    def run(batches):
+        parser = _Shredder()
+        for batch in batches:
+            out = []
+            for html in batch.column("html").to_pylist():
+                rows = parser.run(html or "")
+                page = rows[0][9]
+                els = []
+                for r in rows:
+                    if r[4] == "element" and r[5] in wanted:
+                        value = None
+                        if r[5] in texts:
+                            value = (r[9] or "") if r[5] in STRING_CONTAINERS else page[r[10]:r[11]]
+                        els.append({"node_id": r[0], "end_id": r[1], "parent_id": r[2], "tag": r[5], "id": r[6], "classes": r[7], "attrs": r[8], "text": value})
+                out.append(els)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "domain", "url")), pa.array(out, pa.list_(kind))],
+                                             ["page_id", "domain", "url", "els"])
+
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), url_domain("url").alias("domain"), "url", "html")
+    return src.mapInArrow(run, f"page_id long, domain string, url string, els array<{PAGE_ELEMENT}>")
+
+
 def elements(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "element")
 

@@ -23,6 +23,7 @@ from ..plans.jobs import clean_pages, crawl_artifacts
 from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors
 from ..operators.shred import shred
 from ..reports import site as R
+from ..sinks.writers import artifacts
 from ..sources.pages import read_page_urls, read_pages
 from ..sources.sitemaps import expand_index, sitemap_diff as _sitemap_diff, sitemap_urls, sitemaps_from_pages
 
@@ -43,6 +44,26 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_page_urls(spark, f"{sf_dir}/pages.parquet")
 
 
+# Head elements that the driver's pages lack, by page number; an expression of both Spark and the oracle's SQL.
+_HEAD = [
+    (4, 0, """'<meta name="generator" content="WordPress 6.' || CAST(page_id % 10 AS STRING) || '">'"""),
+    (5, 0, """'<meta property="og:title" content="Page ' || CAST(page_id AS STRING) || '">'"""),
+    (2, 0, """'<meta name="description" content="About ' || CAST(page_id AS STRING) || '">'"""),
+    (10, 4, """'<meta name="description" content="A second description">'"""),
+    (3, 0, """'<link rel="canonical" href="' || replace(url, '&', '&amp;') || '">'"""),
+    (6, 1, """'<script src="/assets/jquery-3.' || CAST(page_id % 7 AS STRING) || '.min.js"></script>'"""),
+    (7, 2, """'<link rel="stylesheet" href="https://fonts.googleapis.com/css?family=A">'"""),
+    (9, 3, """'<script src="/_next/static/chunk.js"></script><meta name="robots" content="NOINDEX, follow">'"""),
+]
+DESCRIBED_HTML = "replace(html, '<head>', '<head>' || " + " || ".join(
+    f"CASE WHEN page_id % {m} = {r} THEN {text} ELSE '' END" for m, r, text in _HEAD) + ")"
+
+
+def described_pages(spark, sf_dir):
+    """The pages with head elements put in by page number, so that jobs over metadata find some."""
+    return _pages(spark, sf_dir).select("page_id", "url", F.expr(DESCRIBED_HTML).alias("html"))
+
+
 def url_keys(spark, sf_dir):
     p = _urls(spark, sf_dir)
     return p.select("page_id", "url", U.domain("url").alias("domain"), U.domain_folder("url").alias("domain_folder"),
@@ -206,14 +227,15 @@ RUN_DATE = "2026-01-01"  # run date of the layer/artifact tables (an argument, n
 
 
 def page_metadata(spark, sf_dir):
-    """title, html lang, canonical link and number of meta name/property tags per page."""
-    m = _page_metadata(shred(_pages(spark, sf_dir)))
-    return m.select("page_id", "url", "title", "lang", "canonical", F.size("meta").cast("long").alias("n_meta"))
+    """title, html lang, canonical link and the meta tags of every page, in order."""
+    m = _page_metadata(described_pages(spark, sf_dir))
+    tags = F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+    return m.select("page_id", "url", "title", "lang", "canonical", F.size("meta").cast("long").alias("n_meta"), tags.alias("meta"))
 
 
 def page_markdown(spark, sf_dir):
     """markdown rendering of every page."""
-    return _page_markdown(shred(_pages(spark, sf_dir)))
+    return _page_markdown(_pages(spark, sf_dir))
 
 
 def clean_layers(spark, sf_dir):
@@ -228,7 +250,19 @@ def artifact_long(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     a = crawl_artifacts(pages.select("url"), pages, RUN_DATE)
     return a.select("url", "kind", "ext", "domain_folder", "page_folder",
-                    F.length("payload").cast("long").alias("n_bytes"))
+                    F.length("payload").cast("long").alias("n_bytes"), F.md5("payload").alias("payload_md5"))
+
+
+def artifact_binaries(spark, sf_dir):
+    """K7 + K9: screenshots (base64, some broken or missing) and PDF bytes put beside every page by its number, as artifacts."""
+    third, even = F.col("page_id") % 3, F.col("page_id") % 2 == 0
+    url = F.encode("url", "UTF-8")
+    results = _pages(spark, sf_dir).select(
+        "url", F.lit("").alias("cleaned_html"), F.lit("").alias("markdown"), F.lit(None).cast("map<string,string>").alias("metadata"),
+        F.when(even, F.encode(F.concat(F.lit("pdf of "), F.col("url")), "UTF-8")).alias("pdf"),
+        F.when(third == 0, F.base64(url)).when(third == 1, F.lit("a")).alias("screenshot"))
+    a = artifacts(results, RUN_DATE).filter(F.col("kind").isin("screenshots", "PDF"))
+    return a.select("url", "kind", "ext", "domain_folder", F.md5("payload").alias("payload_md5"))
 
 
 def page_rank(spark, sf_dir):
@@ -305,6 +339,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_markdown": page_markdown,
     "clean_layers": clean_layers,
     "artifact_long": artifact_long,
+    "artifact_binaries": artifact_binaries,
     "page_rank": page_rank,
     "orphan_pages": orphan_pages,
     "depth_distribution": depth_distribution,

@@ -52,9 +52,8 @@ def crawl_results(visits: DataFrame, pages: DataFrame) -> DataFrame:
     """
     v = visits.select("url").distinct()
     p = pages.join(v, "url", "left_semi")
-    nodes = shred(p)
-    md = page_markdown(nodes).select("page_id", "markdown")
-    meta = page_metadata(nodes)
+    md = page_markdown(p).select("page_id", "markdown")
+    meta = page_metadata(p)
     meta = meta.select("page_id", F.map_concat(
         F.create_map(F.lit("title"), F.col("title")),
         F.when(F.col("lang").isNotNull(), F.create_map(F.lit("lang"), F.col("lang"))).otherwise(
