@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .select import GLOBAL, compile_selectors, first_match, match, text_of
+from .select import GLOBAL, first_match, match, text_of
 from .shred import documents
 
 
@@ -39,10 +39,7 @@ def field_values(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     A selector outside the supported grammar raises: an empty field would look like a page without it."""
     sel = _norm(selectors)
     queries = sel.filter(F.col("selector") != "").select("scope", "selector").distinct()
-    bad = [r["selector"] for r in compile_selectors(queries).filter(~F.col("valid")).select("selector").distinct().take(5)]
-    if bad:
-        raise ValueError(f"unsupported selectors, e.g. {bad}: V5 reads no field from them")
-    firsts = text_of(first_match(match(nodes, queries)), nodes).select("page_id", "scope", "selector", "value")
+    firsts = text_of(first_match(match(nodes, queries, strict=True)), nodes).select("page_id", "scope", "selector", "value")
     return firsts.join(sel.select("scope", "selector", "field"), ["scope", "selector"]) \
         .select("page_id", "scope", "field", "value")
 

@@ -11,9 +11,12 @@ Plan:
    (scope, selector, alt, step_no, n_steps, comb, tag, ids, classes, attrs, key)
    in one ``mapInArrow`` pass over the distinct strings.
 2. Every element is expanded to its index terms (``*``, tag, classes, id,
-   attribute names) and equi-joined with the step rows on (term[, domain]):
-   a broadcast hash join when the step table is small (row count checked),
-   a shuffle join otherwise. The residual predicate checks the whole step.
+   attribute names) and equi-joined with the step rows on (term[, domain], part).
+   A small step table (row count checked) is a local relation with one part. A
+   large one stays a table: a site with many pages is dealt out to parts by page
+   and its step rows are repeated per part, so no site is one task; the number of
+   parts follows from the site's share of all pages. The residual predicate checks
+   the whole step.
 3. The step chain is resolved with windows partitioned by
    (page_id, scope, selector, alt): descendant = running max of the previous
    step's ``end_id``; child = the parent is a previous-step match. All windows
@@ -26,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROW_LIMIT
-from .shred import STRING_CONTAINERS, elements
+from ..session import BROADCAST_ROW_LIMIT, materialize
+from .shred import STRING_CONTAINERS, documents, elements
 
 GLOBAL = ""  # scope of selectors that apply to every page
 
@@ -305,19 +308,51 @@ MATCH_COLS = ["page_id", "scope", "selector", "node_id", "end_id", "parent_id",
               "classes", "attrs", "text", "text_lo", "text_hi"]
 
 
-def match(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+# a site with more than 1/HEAVY_SHARE of all pages is heavy, so there are fewer than HEAVY_SHARE heavy sites
+HEAVY_SHARE = 2_000
+PART_PAGES = 64  # pages of a part, at least
+GLOBAL_PARTS = 32
+
+
+def heavy_sites(nodes: DataFrame) -> DataFrame:
+    """(heavy, parts): the sites whose pages are dealt out, and to how many parts.
+
+    Fewer than ``HEAVY_SHARE`` rows whatever the input, and fewer than twice as many parts in all.
+    """
+    sizes = documents(nodes).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    total = documents(nodes).agg(F.count(F.lit(1))).scalar()
+    parts = F.least(F.ceil(F.col("n") * HEAVY_SHARE / total), F.ceil(F.col("n") / PART_PAGES)).cast("int")
+    return sizes.where(F.col("n") * HEAVY_SHARE > total).select(F.col("domain").alias("heavy"), parts.alias("parts")).where("parts > 1")
+
+
+def _dealt(els: DataFrame, steps: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements with the part of their page, and each site's steps once per part of the site."""
+    of_page = F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("int"), F.lit(0))
+    els = els.join(F.broadcast(heavy), F.col("domain") == F.col("heavy"), "left").withColumn("part", of_page).drop("heavy", "parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
+    steps = steps.join(F.broadcast(heavy), F.col("scope") == F.col("heavy"), "left").withColumn("s_part", every).drop("heavy", "parts")
+    return els, steps
+
+
+def match(nodes: DataFrame, queries: DataFrame, strict: bool = False) -> DataFrame:
     """All elements matching each (scope, selector) of ``queries``.
 
     Returns MATCH_COLS: one row per (page, scope, selector, matching element).
     A global selector is matched on every page; a scoped one only on pages of
-    that domain.
+    that domain. ``strict`` raises on selectors outside the grammar, which else match nothing.
     """
     spark = nodes.sparkSession
-    steps = compile_selectors(queries).filter("valid")
-    # a step table small enough to broadcast goes through the driver anyway: take it once
-    # (bounded read) as a local relation, so the compile runs once and its stats are free
+    steps = compile_selectors(queries)
     head = steps.limit(BROADCAST_ROW_LIMIT + 1).collect()
     bcast = len(head) <= BROADCAST_ROW_LIMIT
+    if bcast:
+        bad = [r["selector"] for r in head if not r["valid"]]
+        head = [r for r in head if r["valid"]]
+    else:
+        steps = materialize(steps, "steps")
+        bad = [r["selector"] for r in steps.filter(~F.col("valid")).take(5)] if strict else []
+    if strict and bad:
+        raise ValueError(f"unsupported selectors, e.g. {sorted(set(bad))[:5]}")
     if bcast:
         if not head:
             return spark.createDataFrame([], _match_schema(nodes))
@@ -325,24 +360,34 @@ def match(nodes: DataFrame, queries: DataFrame) -> DataFrame:
         stats = {"n": len(head), "k": max(r["n_steps"] for r in head),
                  "g": sum(1 for r in head if r["scope"] == GLOBAL)}
     else:
+        steps = steps.filter("valid")
         stats = steps.agg(F.count(F.lit(1)).alias("n"), F.max("n_steps").alias("k"),
                           F.count_if(F.col("scope") == GLOBAL).alias("g")).first()
     s = steps.select(
         "scope", "selector", "alt", "step_no", "n_steps", "comb", F.col("tag").alias("s_tag"),
         F.col("ids").alias("s_ids"), F.col("classes").alias("s_classes"), F.col("attrs").alias("s_attrs"), "key")
     keys = sorted({r["key"] for r in head if r["key"] is not None}) if bcast else []
-    terms = _terms(elements(nodes), keys if 0 < len(keys) <= LITERAL_KEYS else None)
+    els = elements(nodes)
+    glob, site = s.filter(F.col("scope") == GLOBAL), s.filter(F.col("scope") != GLOBAL)
+    on_term = F.col("term") == F.col("key")
     parts = []
-    if stats["g"] > 0:
-        g = s.filter(F.col("scope") == GLOBAL)
-        g = F.broadcast(g) if bcast else g
-        parts.append(terms.join(g, terms["term"] == g["key"]).filter(_step_predicate()))
-    if stats["g"] < stats["n"]:
-        d = s.filter(F.col("scope") != GLOBAL)
-        d = F.broadcast(d) if bcast else d
-        parts.append(terms.join(d, (terms["term"] == d["key"]) & (terms["domain"] == d["scope"])).filter(_step_predicate()))
+    if bcast:
+        terms = _terms(els, keys if 0 < len(keys) <= LITERAL_KEYS else None)
+        if stats["g"] > 0:
+            parts.append(terms.join(F.broadcast(glob), on_term))
+        if stats["g"] < stats["n"]:
+            parts.append(terms.join(F.broadcast(site), on_term & (F.col("domain") == F.col("scope"))))
+    else:
+        if stats["g"] > 0:
+            terms = _terms(els).withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(GLOBAL_PARTS)))
+            every = glob.withColumn("s_part", F.explode(F.sequence(F.lit(0), F.lit(GLOBAL_PARTS - 1))))
+            parts.append(terms.join(every, on_term & (F.col("part") == F.col("s_part"))).drop("part", "s_part"))
+        if stats["g"] < stats["n"]:
+            dealt, every = _dealt(els, site, heavy_sites(nodes))
+            same = on_term & (F.col("domain") == F.col("scope")) & (F.col("part") == F.col("s_part"))
+            parts.append(_terms(dealt).join(every, same).drop("part", "s_part"))
     cand = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    cand = cand.select(*MATCH_COLS, "alt", "step_no", "n_steps", "comb")
+    cand = cand.filter(_step_predicate()).select(*MATCH_COLS, "alt", "step_no", "n_steps", "comb")
     if not bcast:
         cand = cand.repartition("page_id")
     cand = cand.withColumn("alive", F.col("step_no") == 1)

@@ -216,8 +216,9 @@ def shred(pages: DataFrame, persist: bool = True) -> DataFrame:
     src = pages.select("page_id", url_domain("url").alias("domain"), "url", "html")
     # the parse is CPU-bound Python: when the scan yields fewer splits than the cluster has
     # cores (small inputs), spread the pages round-robin first; large inputs keep their splits
+    # (only plain scans are asked: counting the partitions of a plan with a shuffle would run it)
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < cores:
+    if "Exchange" not in src._jdf.queryExecution().executedPlan().toString() and src.rdd.getNumPartitions() < cores:
         src = src.repartition(cores)
     nodes = src.mapInArrow(_shred_batches, NODE_SCHEMA).repartition("page_id")
     return nodes.persist(StorageLevel.MEMORY_AND_DISK) if persist else nodes

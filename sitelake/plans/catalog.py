@@ -16,10 +16,10 @@ from ..functions import urls as U
 from ..operators.extract import extract_fields, selectors_frame
 from ..operators.frontier import crawl, with_added_links
 from ..operators.links import first_occurrence, link_scope_lists, page_links
-from ..operators.candidates import candidate_cards as _candidate_cards
-from ..operators.listing import extract_listing_links
+from ..operators.candidates import candidate_cards as _candidate_cards, card_shapes as _card_shapes
+from ..operators.listing import bootstrap_product_page, extract_listing_links, missing_selectors as _missing_selectors
 from ..operators.render import page_markdown as _page_markdown, page_metadata as _page_metadata
-from ..plans.jobs import clean_pages, crawl_artifacts
+from ..plans.jobs import clean_pages, crawl_artifacts, listing_to_products
 from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors
 from ..operators.shred import shred
 from ..reports import site as R
@@ -64,6 +64,82 @@ def described_pages(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", "url", F.expr(DESCRIBED_HTML).alias("html"))
 
 
+# Cards put before the footer of every page: links to the pages (a*i+b) mod n that exist, each card with classes of its own.
+CARD_TARGETS = [(7, 1), (3, 2), (5, 3)]
+
+
+def shop_pages(spark, sf_dir):
+    """The pages with a block of product cards, read from the page table itself, that link to other landed pages."""
+    pages = _pages(spark, sf_dir)
+    n = pages.select(F.max("page_id") + 1).scalar()
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.pmod(F.col("page_id") * a + b, n).alias("to")) for k, (a, b) in enumerate(CARD_TARGETS, 1)])
+    links = pages.select("page_id", F.explode(wanted).alias("w")).select("page_id", "w.k", "w.to")
+    links = links.join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("to_url")), "to")
+    card = F.concat(F.lit('<div class="p'), F.col("k").cast("string"), F.lit("-"), (F.col("page_id") % 10).cast("string"), F.lit('"><a href="'),
+                    F.replace("to_url", F.lit("&"), F.lit("&amp;")), F.lit('"><span>Page '), F.col("to").cast("string"), F.lit("</span></a><em>"),
+                    F.col("k").cast("string"), F.lit("</em></div>"))
+    blocks = links.select("page_id", "k", card.alias("card")).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("k", "card"))).alias("cards"))
+    grid = F.concat(F.lit('<div class="grid">'), F.array_join(F.transform("cards", lambda c: c["card"]), ""), F.lit("</div><footer>"))
+    return pages.join(blocks, "page_id", "left").select("page_id", "url", F.when(F.col("cards").isNotNull(), F.replace("html", F.lit("<footer>"), grid)).otherwise(F.col("html")).alias("html"))
+
+
+# Selector records by site: the length of the site's name says which it has.
+PRODUCT_RECORDS = {0: {"title": "h1", "ad": ".ad", "footer": "footer"}, 1: {"title": "head title", "ad": "body > div.ad", "footer": ""}}
+LISTING_RECORDS = {0: {"product_card": "nav li", "product_link": "a", "pagination": ""}, 1: {"product_card": "nav li", "product_link": "", "pagination": ""}}
+
+
+def site_selectors(pages: DataFrame) -> DataFrame:
+    """Selector rows (scope, kind, field, ord, selector) per site of ``pages``; a third of the sites has no product record."""
+    def rows(kind, record):
+        return [F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("field"), F.lit(i).alias("ord"), F.lit(s).alias("selector")) for i, (f, s) in enumerate(record.items())]
+
+    size = F.length("scope")
+    product = F.when(size % 3 == 0, F.array(*rows("product", PRODUCT_RECORDS[0]))).when(size % 3 == 1, F.array(*rows("product", PRODUCT_RECORDS[1])))
+    listing = F.when(size % 2 == 0, F.array(*rows("listing", LISTING_RECORDS[0]))).otherwise(F.array(*rows("listing", LISTING_RECORDS[1])))
+    sites = pages.select(U.domain("url").alias("scope")).distinct()
+    every = F.concat(F.coalesce(product, F.filter(listing, lambda x: F.lit(False))), listing)
+    return sites.select("scope", F.explode(every).alias("r")).select("scope", "r.kind", "r.field", "r.ord", "r.selector")
+
+
+def _site_records(spark, sf_dir, kind):
+    return site_selectors(_urls(spark, sf_dir)).filter(F.col("kind") == kind)
+
+
+def site_fields(spark, sf_dir):
+    """J1 + V5 + P2: every page's fields by the record of its own site; sites without a record have no rows."""
+    return extract_fields(shred(_pages(spark, sf_dir)), _site_records(spark, sf_dir, "product"), list(PRODUCT_RECORDS[0]))
+
+
+def site_listing_links(spark, sf_dir):
+    """J1 + V2 + P5: listing links by the record of the page's own site; records without a link selector give none."""
+    out = extract_listing_links(shred(_pages(spark, sf_dir)), _site_records(spark, sf_dir, "listing"))
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), "url")
+
+
+def missing_selectors(spark, sf_dir):
+    """Sites with landed pages and no product record."""
+    return _missing_selectors(_urls(spark, sf_dir), _site_records(spark, sf_dir, "product"))
+
+
+def bootstrap_pages(spark, sf_dir):
+    """V4 + F6: one product page for each of those sites that has a usable listing record."""
+    return bootstrap_product_page(shred(_pages(spark, sf_dir)), _site_records(spark, sf_dir, "listing"), _site_records(spark, sf_dir, "product"))
+
+
+def listing_products(spark, sf_dir):
+    """V6: cards of every page -> links -> landed pages -> fields, in listing order."""
+    pages = shop_pages(spark, sf_dir)
+    listing = selectors_frame(spark, {"product_card": "div.grid > div", "product_link": "a"}, kind="listing")
+    out, _ = listing_to_products(pages, pages, listing, selectors_frame(spark, {"title": "h1", "ad": ".ad"}))
+    return out.select("listing_id", F.col("pos").cast("long").alias("pos"), "url", "title", "ad")
+
+
+def card_shapes(spark, sf_dir):
+    """V3 + A6 by shape: the repeated link-wrapping groups of every site, cards of differing classes among them."""
+    out = _card_shapes(shop_pages(spark, sf_dir))
+    return out.select("domain", "shape", "selector", "in_navigation", "n_pages", "n_cards", "rank")
+
+
 def url_keys(spark, sf_dir):
     p = _urls(spark, sf_dir)
     return p.select("page_id", "url", U.domain("url").alias("domain"), U.domain_folder("url").alias("domain_folder"),
@@ -338,6 +414,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_metadata": page_metadata,
     "page_markdown": page_markdown,
     "clean_layers": clean_layers,
+    "card_shapes": card_shapes,
+    "site_fields": site_fields,
+    "site_listing_links": site_listing_links,
+    "missing_selectors": missing_selectors,
+    "bootstrap_pages": bootstrap_pages,
+    "listing_products": listing_products,
     "artifact_long": artifact_long,
     "artifact_binaries": artifact_binaries,
     "page_rank": page_rank,

@@ -7,8 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Selector steps that may be taken through the driver and broadcast; above it the join shuffles on its keys.
-BROADCAST_ROW_LIMIT = 200_000
+# Compiled selector steps that are taken through the driver as a local relation; more stay a written table.
+BROADCAST_ROW_LIMIT = 1_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "sitelake") -> SparkSession:
