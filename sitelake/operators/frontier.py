@@ -2,10 +2,11 @@
 
 Fixed rules: a seed has depth 0 and uses one unit of the page budget; a URL is
 visited at most once per seed; "internal" means the seed's domain; a link to a
-URL with no landed page is visited (it counts in the budget, ``landed`` is
-false) but has no out-links. Every visit carries ``path``, the link positions
-from the seed along its discovery tree, which orders visits without a global
-counter:
+URL with no landed page is reported but not visited: its row has the depth, parent
+and path of its first link from a visited page, ``landed`` false and no
+``visit_order``, and it takes nothing from the budget. Every visit carries ``path``,
+the link positions from the seed along its discovery tree, which orders visits
+without a global counter:
 
 * breadth: (depth, path) - level by level, parents in visit order, then link position;
 * depth: path - pre-order of the breadth-first discovery tree within max_depth, cut
@@ -16,7 +17,9 @@ counter:
 Each round is one Spark job over all seeds; its output is written once as
 parquet under the session's checkpoint folder and read back (``materialize``),
 which cuts lineage and survives executor loss. The edge table is materialized
-once per crawl.
+once per crawl. What a seed has visited or reported is one table bucketed by URL
+id, to which each level is appended: the anti-join of a level shuffles its new
+candidates only, not the levels before.
 Per-seed budgets use a ``row_number`` bounded by a literal, which Spark turns
 into a partial top-k before the shuffle, so a hot seed sends at most
 ``max_pages`` rows per partition.
@@ -24,6 +27,7 @@ into a partial top-k before the shuffle, so a hot seed sends at most
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -33,7 +37,7 @@ from ..functions.text import keyword_score
 from ..functions.urls import domain
 from ..session import ensure_checkpoint_dir, materialize, release
 
-VISIT_COLS = ["seed_id", "seed_domain", "url", "depth", "parent", "path", "score"]
+VISIT_COLS = ["seed_id", "seed_domain", "url", "depth", "parent", "path", "score", "landed"]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -53,41 +57,75 @@ def _expand(frontier: DataFrame, edges: DataFrame, depth_of_new, include_externa
     return c.select(
         F.col("f.seed_id").alias("seed_id"), F.col("f.seed_domain").alias("seed_domain"),
         F.col("e.dst").alias("url"), depth_of_new.alias("depth"), F.col("f.url").alias("parent"),
-        F.concat(F.col("f.path"), F.array(F.col("e.pos").cast("int"))).alias("path"), F.col("e.d_score").alias("score"))
+        F.concat(F.col("f.path"), F.array(F.col("e.pos").cast("int"))).alias("path"), F.col("e.d_score").alias("score"),
+        F.col("e.d_landed").alias("landed"))
 
 
 def _first_per_url(c: DataFrame) -> DataFrame:
     """One candidate per (seed, url): the smallest (depth, path); partial aggregation before the shuffle."""
-    m = F.min(F.struct("depth", "path", "parent", "seed_domain", "score")).alias("m")
+    m = F.min(F.struct("depth", "path", "parent", "seed_domain", "score", "landed")).alias("m")
     return c.groupBy("seed_id", "url").agg(m).select(
         "seed_id", F.col("m.seed_domain").alias("seed_domain"), "url", F.col("m.depth").alias("depth"),
-        F.col("m.parent").alias("parent"), F.col("m.path").alias("path"), F.col("m.score").alias("score"))
+        F.col("m.parent").alias("parent"), F.col("m.path").alias("path"), F.col("m.score").alias("score"), F.col("m.landed").alias("landed"))
 
 
-def _id_space(edges: DataFrame, seeds: DataFrame, keywords, weight, filters):
+class _Seen:
+    """(seed_id, url) pairs of a crawl so far, as a table bucketed by url in the shared folder, appended to level by level."""
+
+    def __init__(self, first: DataFrame):
+        self.spark = first.sparkSession
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"crawl_seen_{uuid.uuid4().hex}"
+        kind = first.schema["seed_id"].dataType.simpleString()
+        self.path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/{self.name}"
+        self.spark.sql(f"CREATE TABLE {self.name} (seed_id {kind}, url BIGINT) USING parquet CLUSTERED BY (url) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        self.add(first)
+
+    def add(self, visits: DataFrame) -> None:
+        visits.select("seed_id", "url").repartition(self.buckets, "url").write.insertInto(self.name)
+
+    def new(self, candidates: DataFrame) -> DataFrame:
+        """The candidates of pairs that are not in the table."""
+        self.spark.catalog.refreshTable(self.name)
+        had = self.spark.table(self.name).select(F.col("seed_id").alias("_seed"), F.col("url").alias("_url"))
+        dealt = candidates.repartition(self.buckets, "url")
+        return dealt.join(had, (F.col("url") == F.col("_url")) & (F.col("seed_id") == F.col("_seed")), "left_anti")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def _id_space(edges: DataFrame, seeds: DataFrame, keywords, weight, filters, pages=None):
     """Map URLs to 64-bit ids once: (ids, doms, id-edges, id-seeds).
 
-    Per URL: id, domain id, keyword score and the O11 filter flag; so rounds move
-    longs, and no string function runs per candidate.
+    Per URL: id, domain id, keyword score, the O11 filter flag and whether a page is landed
+    (without ``pages``: all are); so rounds move longs, and no string function runs per candidate.
     """
     e = materialize(edges.select("src", "dst", "pos"), "edges")  # read twice below: compute once
     urls = e.select(F.col("src").alias("url")).union(e.select(F.col("dst").alias("url"))) \
         .union(seeds.select("url")).distinct()
     ok = reduce(lambda a, b: a & b, filters) if filters else F.lit(True)
-    ids = materialize(urls.select("url", F.monotonically_increasing_id().alias("uid"), domain(F.col("url")).alias("dom"),
+    if pages is None:
+        urls = urls.withColumn("landed", F.lit(True))
+    else:
+        have = pages.select("url").distinct().withColumn("landed", F.lit(True))
+        urls = urls.join(have, "url", "left").withColumn("landed", F.coalesce("landed", F.lit(False)))
+    ids = materialize(urls.select("url", "landed", F.monotonically_increasing_id().alias("uid"), domain(F.col("url")).alias("dom"),
                                   keyword_score(F.col("url"), keywords or [], weight).alias("score"), ok.alias("ok")),
                       "crawl_ids")
     doms = materialize(ids.select("dom").distinct().withColumn("dom_id", F.monotonically_increasing_id()), "crawl_doms")
-    idx = ids.join(doms, "dom").select("url", "uid", "dom_id", "score", "ok")
+    idx = ids.join(doms, "dom").select("url", "uid", "dom_id", "score", "ok", "landed")
     src = idx.select(F.col("url").alias("src_url"), F.col("uid").alias("src"))
     dst = idx.select(F.col("url").alias("dst_url"), F.col("uid").alias("dst"), F.col("dom_id").alias("d_dom"),
-                     F.col("score").alias("d_score"), F.col("ok").alias("d_ok"))
+                     F.col("score").alias("d_score"), F.col("ok").alias("d_ok"), F.col("landed").alias("d_landed"))
     g = e.withColumnRenamed("src", "src_url").withColumnRenamed("dst", "dst_url") \
         .join(src, "src_url").join(dst, "dst_url").filter(F.col("d_ok"))  # O11 once per edge
-    g = materialize(g.select("src", "dst", "pos", "d_dom", "d_score"), "crawl_edges")
+    g = materialize(g.select("src", "dst", "pos", "d_dom", "d_score", "d_landed"), "crawl_edges")
     v0 = seeds.join(idx, "url").select(
         "seed_id", F.col("dom_id").alias("seed_domain"), F.col("uid").alias("url"), F.lit(0).alias("depth"),
-        F.lit(None).cast("long").alias("parent"), F.array().cast("array<int>").alias("path"), "score")
+        F.lit(None).cast("long").alias("parent"), F.array().cast("array<int>").alias("path"), "score", "landed")
     return ids, doms, g, materialize(v0, "crawl_seeds")
 
 
@@ -98,7 +136,7 @@ def _to_urls(visits: DataFrame, ids: DataFrame, doms: DataFrame) -> DataFrame:
     d = doms.select(F.col("dom_id").alias("seed_domain"), F.col("dom").alias("_dom"))
     v = visits.join(u, "url").join(p, "parent", "left").join(d, "seed_domain")  # domains: unbounded, no hint
     return v.select("seed_id", F.col("_dom").alias("seed_domain"), F.col("_url").alias("url"), "depth",
-                    F.col("_parent").alias("parent"), "path", "score", "visit_order")
+                    F.col("_parent").alias("parent"), "path", "score", "landed", "visit_order")
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_depth: int = 20,
@@ -109,14 +147,14 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
     """Visit table of a crawl from every seed.
 
     edges(src, dst, pos): links between URLs; seeds(seed_id, url); pages(url)
-    (optional) marks which URLs are landed. O11 filters: ``allowed_domains`` (domain
+    (optional) says which URLs are landed; without it all are. O11 filters: ``allowed_domains`` (domain
     of a candidate in the list) and ``url_pattern`` (regex a candidate must match);
     content-type filters need a type column the landed tables do not have. ``keep_tree=False``
     (breadth without budget only) computes reachability and depth alone: each level
     carries (seed, id) pairs, no parent or path. URLs are mapped to 64-bit ids for the
     rounds and back at the end. Returns seed_id, seed_domain, url, depth, parent, path,
-    score, visit_order (1-based per seed; null when an unbudgeted breadth run needs no
-    order), landed (when ``pages`` is given).
+    score, visit_order (1-based per seed; null for reported URLs and when an unbudgeted
+    breadth run needs no order), landed (when ``pages`` is given).
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -125,11 +163,11 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
         filters.append(domain(F.col("url")).isin(*allowed_domains))
     if url_pattern:
         filters.append(F.col("url").rlike(url_pattern))
-    ids, doms, e, v0 = _id_space(edges, seeds, keywords, weight, filters)
+    ids, doms, e, v0 = _id_space(edges, seeds, keywords, weight, filters, pages)
     if threshold is not None and not keywords:
         threshold = None  # P7 applies only with a scorer
     if strategy == "best":
-        visits = _best_first(e, v0, max_depth, max_pages if max_pages is not None else 2**31 - 1, include_external, threshold, batch)
+        visits = _best_first(e.filter("d_landed"), v0, max_depth, max_pages if max_pages is not None else 2**31 - 1, include_external, threshold, batch)
     elif not keep_tree:
         if strategy != "breadth" or max_pages is not None:
             raise ValueError("keep_tree=False needs strategy='breadth' without max_pages")
@@ -139,32 +177,33 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     visits = _to_urls(visits, ids, doms)
-    if pages is not None:
-        landed = pages.select("url").distinct().withColumn("landed", F.lit(True))
-        visits = visits.join(landed, "url", "left").withColumn("landed", F.coalesce("landed", F.lit(False)))
-    return visits
+    return visits if pages is not None else visits.drop("landed")
 
 
 def _levels(e, v0, strategy, max_depth, max_pages, include_external, threshold):
     parts = [v0]
     frontier = v0
+    seen = _Seen(v0)
     for d in range(1, max_depth + 1):
         cand = _expand(frontier, e, F.lit(d), include_external, threshold)
-        # dedupe first (partial aggregation map-side); its output is already partitioned on the
-        # anti-join keys, so only the visited side shuffles for the anti-join
-        new = _first_per_url(cand).join(_union(parts).select("seed_id", "url"), ["seed_id", "url"], "left_anti")
+        new = seen.new(_first_per_url(cand))  # partial aggregation before the shuffle on url
         if max_pages is not None and strategy == "breadth":
             # This level's visits in (parent order, link position) = path order, after the earlier levels
-            seen = _union(parts).groupBy("seed_id").agg(F.count(F.lit(1)).alias("_seen"))
+            taken = _union([p.filter("landed OR depth = 0").select("seed_id") for p in parts]).groupBy("seed_id").agg(F.count(F.lit(1)).alias("_taken"))
             rank = F.row_number().over(Window.partitionBy("seed_id").orderBy("path"))
-            new = new.withColumn("_r", rank).filter(F.col("_r") <= max_pages)
-            new = new.join(seen, "seed_id").filter(F.col("_seen") + F.col("_r") <= max_pages).drop("_r", "_seen")
+            visited = new.filter("landed").withColumn("_r", rank).filter(F.col("_r") <= max_pages)
+            visited = visited.join(taken, "seed_id").filter(F.col("_taken") + F.col("_r") <= max_pages).drop("_r", "_taken")
+            new = visited.unionByName(new.filter("NOT landed"))
         new = materialize(new, "level")
         parts.append(new)
-        if new.isEmpty():
+        frontier = new.filter("landed")
+        if frontier.isEmpty():
             break
-        frontier = new
-    visits = _union(parts)
+        if d < max_depth:
+            seen.add(new)
+    seen.drop()
+    every = _union(parts)
+    visits, reported = every.filter("landed OR depth = 0"), every.filter("NOT landed AND depth > 0").withColumn("visit_order", F.lit(None).cast("int"))
     if max_pages is not None or strategy == "depth":
         key = [F.col("depth"), F.col("path")] if strategy == "breadth" else [F.col("path")]
         visits = visits.withColumn("visit_order", F.row_number().over(Window.partitionBy("seed_id").orderBy(*key)))
@@ -172,29 +211,38 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, threshold):
             # depth: the budget cuts the pre-order of the whole discovery tree (pruning earlier
             # would let a deeper node take a smaller path); a literal bound gives a partial top-k
             visits = visits.filter(F.col("visit_order") <= max_pages)
+            if strategy == "depth":  # what only pages beyond the budget link to is not reported
+                kept = visits.select("seed_id", F.col("url").alias("parent"))
+                reported = reported.join(kept, ["seed_id", "parent"], "left_semi")
     else:
         visits = visits.withColumn("visit_order", F.lit(None).cast("int"))
-    return visits.select(*VISIT_COLS, "visit_order")
+    return visits.select(*VISIT_COLS, "visit_order").unionByName(reported.select(*VISIT_COLS, "visit_order"))
 
 
 def _reach(g, v0, max_depth, include_external):
     """Shortest depth of every (seed, url id) within max_depth; only id pairs move between levels."""
-    parts = [v0.select("seed_id", "seed_domain", "url", "depth")]
+    cols = ["seed_id", "seed_domain", "url", "depth", "landed"]
+    parts = [v0.select(*cols)]
     frontier = parts[0]
+    seen = _Seen(v0)
     for d in range(1, max_depth + 1):
         c = frontier.join(g, frontier["url"] == g["src"]).select("seed_id", "seed_domain", F.col("dst").alias("url"),
-                                                                   "d_dom")
+                                                                   "d_dom", F.col("d_landed").alias("landed"))
         if not include_external:
             c = c.filter(F.col("d_dom") == F.col("seed_domain"))  # P6 on domain ids
-        new = c.select("seed_id", "seed_domain", "url").dropDuplicates(["seed_id", "url"]) \
-            .join(_union(parts).select("seed_id", "url"), ["seed_id", "url"], "left_anti").withColumn("depth", F.lit(d))
-        new = materialize(new, "reach")
+        new = seen.new(c.select("seed_id", "seed_domain", "url", "landed").dropDuplicates(["seed_id", "url"])).withColumn("depth", F.lit(d))
+        new = materialize(new.select(*cols), "reach")
+        frontier = new.filter("landed")
         if new.isEmpty():
             break
         parts.append(new)
-        frontier = new
+        if frontier.isEmpty():
+            break
+        if d < max_depth:
+            seen.add(new)
+    seen.drop()
     return _union(parts).select("seed_id", "seed_domain", "url", "depth", F.lit(None).cast("long").alias("parent"),
-                                F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("double").alias("score"),
+                                F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("double").alias("score"), "landed",
                                 F.lit(None).cast("int").alias("visit_order"))
 
 

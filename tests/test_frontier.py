@@ -23,7 +23,7 @@ def host(u):
     return u.split("/")[2]
 
 
-def bfs(seed, edges, max_depth, max_pages, internal, order="breadth"):
+def bfs(seed, edges, max_depth, max_pages, internal, order="breadth", landed_only=True):
     out = {u: [] for u in {s for s, _, _ in edges}}
     for s, d, p in edges:
         out[s].append((p, d))
@@ -35,6 +35,8 @@ def bfs(seed, edges, max_depth, max_pages, internal, order="breadth"):
             for p, d in sorted(out.get(u, [])):
                 if internal and host(d) != host(seed):
                     continue
+                if d == DEAD and landed_only:  # reported, not visited
+                    continue
                 if d not in seen:
                     seen[d] = (depth, seen[u][1] + (p,))
                     nxt.append(d)
@@ -59,7 +61,7 @@ def best_first(seed, edges, max_depth, max_pages, keywords, weight):
 
     def push(u, depth, path):
         for p, d in sorted(out.get(u, [])):
-            if d in visited or depth + 1 > max_depth:
+            if d in visited or depth + 1 > max_depth or d == DEAD:
                 continue
             cand = (depth + 1, path + (p,))
             if d not in pool or cand < pool[d]:
@@ -83,7 +85,7 @@ def frames(spark):
 
 def _visits(v):
     got = {}
-    for r in v.orderBy("seed_id", "visit_order").collect():
+    for r in v.filter("visit_order IS NOT NULL").orderBy("seed_id", "visit_order").collect():
         got.setdefault(r.seed_id, []).append(r.url)
     return got
 
@@ -97,8 +99,26 @@ def test_breadth(frames, max_depth, max_pages, internal):
     for sid, s in [(0, U[0]), (1, U[3])]:
         exp, seen = bfs(s, graph(), max_depth, max_pages, internal)
         assert got[sid] == exp
-    dead = [r for r in v.collect() if r.url == DEAD]
-    assert all(not r.landed for r in dead)
+        visited = set(exp)
+        if any(u in visited and seen[u][0] < max_depth for u, d, _ in graph() if d == DEAD):
+            row = v.filter((v.seed_id == sid) & (v.url == DEAD)).collect()
+            parents = [u for u, d, _ in graph() if d == DEAD and u in visited]
+            assert len(row) == 1 and not row[0].landed and row[0].visit_order is None and row[0].parent in parents
+
+
+def test_budget_is_not_filled_by_urls_without_pages(spark):
+    """Three pages fit the budget although two links to missing pages come first."""
+    links = [("m1", 1), ("m2", 2), ("a", 3), ("b", 4), ("c", 5)]
+    edges = spark.createDataFrame([("http://s/", f"http://s/{d}", p) for d, p in links] + [("http://s/a", "http://s/m1", 1), ("http://s/a", "http://s/m3", 2)],
+                                  "src string, dst string, pos int")
+    seeds = spark.createDataFrame([(1, "http://s/")], "seed_id long, url string")
+    pages = spark.createDataFrame([(f"http://s/{x}",) for x in ("", "a", "b", "c")], "url string")
+    for strategy in ("breadth", "depth"):
+        rows = {r.url[9:]: (r.visit_order, r.depth, r.landed, (r.parent or "")[9:]) for r in crawl(edges, seeds, strategy, max_pages=3, pages=pages).collect()}
+        assert rows == {"": (1, 0, True, ""), "a": (2, 1, True, ""), "b": (3, 1, True, ""), "m1": (None, 1, False, ""), "m2": (None, 1, False, ""),
+                        "m3": (None, 2, False, "a")}, strategy
+    tables = [t.name for t in spark.catalog.listTables() if t.name.startswith("crawl_seen")]
+    assert tables == []
 
 
 def test_depth_preorder(frames):
@@ -125,7 +145,7 @@ def test_reachability_mode(frames, internal):
     for r in v.collect():
         got.setdefault(r.seed_id, {})[r.url] = r.depth
     for sid, s in [(0, U[0]), (1, U[3])]:
-        _, seen = bfs(s, graph(), 4, None, internal)
+        _, seen = bfs(s, graph(), 4, None, internal, landed_only=False)
         assert got[sid] == {u: dp for u, (dp, _) in seen.items()}
 
 
