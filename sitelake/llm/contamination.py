@@ -113,7 +113,10 @@ def phrase_hits(index: PositionalIndex, classes: DataFrame, window: int | None =
     both = two.join(second, (F.col("in_row") == F.col("row")) & (F.col("pos2") == F.col("pos")) & (F.col("term2") == F.col("term")))
     found = cut(one.unionByName(both.select("row", "anchor", "shift")), "test-candidates")
     spans = wanted.select("anchor", "class", F.col("first").alias("begin"), "final", "words", "length")
-    compared = found.join(spans, "anchor").join(index.docs.select("row", "n_words", "terms"), "row")
+    rows, held = cut(found.select("row").distinct(), "test-rows"), index.docs.select("row", "n_words", "terms")
+    if rows.count() <= LOOKUP_ROWS:  # few documents: only theirs move to the comparison; else all do
+        held = held.join(F.broadcast(rows), "row", "left_semi")
+    compared = found.join(spans, "anchor").join(held, "row")
 
     def matches(at: Column) -> Column:
         start = F.col("shift") + at
