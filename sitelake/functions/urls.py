@@ -162,3 +162,42 @@ def with_resolved_url(df, base, href, out: str = "dst"):
     for stage in _resolve_sql():
         df = df.selectExpr("*", *stage)
     return df.select(*[F.col(f"`{x}`") for x in before if x != out], F.col("_r_out").alias(out))
+
+
+# ---------------------------------------------------------------------------
+# canonical form of a URL
+# ---------------------------------------------------------------------------
+
+def _unescaped_sql(x: str) -> str:
+    """Percent escapes of unreserved characters decoded, the others in upper case."""
+    char = "char(CAST(conv(substr(p, 1, 2), 16, 10) AS BIGINT))"
+    return (f"array_join(transform(split({x}, '%'), (p, i) -> CASE WHEN i = 0 THEN p WHEN NOT p RLIKE '^[0-9A-Fa-f]{{2}}' THEN '%' || p "
+            f"WHEN {char} RLIKE '^[A-Za-z0-9._~-]$' THEN {char} || substr(p, 3) ELSE '%' || upper(substr(p, 1, 2)) || substr(p, 3) END), '')")
+
+
+def _canonical_sql() -> list[list[str]]:
+    return _split_sql("_c", "_cu") + [
+        ["regexp_extract(_c_net, r'^(.*@)', 1) AS _c_user", "lower(regexp_extract(_c_net, r'^(?:.*@)?(.*)$', 1)) AS _c_hp",
+         f"{_unescaped_sql('_c_path')} AS _c_plain", f"{_unescaped_sql('_c_query')} AS _c_q"],
+        ["CASE _c_scheme WHEN 'http' THEN regexp_replace(_c_hp, r':(80)?$', '') WHEN 'https' THEN regexp_replace(_c_hp, r':(443)?$', '') "
+         "ELSE regexp_replace(_c_hp, r':$', '') END AS _c_host", "split(_c_plain, '/') AS _c_segs"],
+        ["aggregate(slice(_c_segs, 2, size(_c_segs)), cast(array() AS array<string>), (acc, s) -> CASE WHEN s = '..' "
+         "THEN slice(acc, 1, greatest(size(acc) - 1, 0)) WHEN s = '.' THEN acc ELSE concat(acc, array(s)) END) AS _c_stack"],
+        ["'/' || array_join(CASE WHEN element_at(_c_segs, -1) IN ('.', '..') THEN concat(_c_stack, array('')) ELSE _c_stack END, '/') AS _c_dir"],
+        ["CASE WHEN _c_scheme = '' OR _c_net = '' THEN regexp_replace(_c_u, '#.*$', '') "
+         "ELSE _c_scheme || '://' || _c_user || _c_host || _c_dir || CASE WHEN _c_query <> '' THEN '?' || _c_q ELSE '' END END AS _c_out"],
+    ]
+
+
+def with_canonical_url(df, url, out: str):
+    """Add column ``out``: the form in which URLs of one page are equal, by built-in expressions only.
+
+    Scheme and host in lower case, no default or empty port, no dot segments, ``/`` for an empty path, escapes of
+    unreserved characters decoded and the others in upper case, no fragment and no empty query. User info, path case and
+    the order of parameters stay. URLs without scheme or host only lose their fragment; null stays null.
+    """
+    before = df.columns
+    df = df.withColumn("_cu", _c(url))
+    for stage in _canonical_sql():
+        df = df.selectExpr("*", *stage)
+    return df.select(*[F.col(f"`{x}`") for x in before if x != out], F.col("_c_out").alias(out))

@@ -57,9 +57,9 @@ def first_occurrence(edges: DataFrame, key: str = "page_id", url: str = "dst", p
 
 
 def link_scope_lists(edges: DataFrame) -> DataFrame:
-    """Per page and scope, the ordered link list and its size ('all' included)."""
-    both = edges.select("page_id", "pos", "dst", "scope").unionByName(
-        edges.select("page_id", "pos", "dst", F.lit("all").alias("scope")))
+    """Per page and scope, the ordered link list and its size ('all' included). Columns: page_id, src, scope, n_links, links."""
+    both = edges.select("page_id", "src", "pos", "dst", "scope").unionByName(
+        edges.select("page_id", "src", "pos", "dst", F.lit("all").alias("scope")))
     agg = both.groupBy("page_id", "scope").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("_l"), F.count(F.lit(1)).alias("n_links"))
-    return agg.select("page_id", "scope", "n_links", F.transform("_l", lambda x: x["dst"]).alias("links"))
+        F.min("src").alias("src"), F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("_l"), F.count(F.lit(1)).alias("n_links"))
+    return agg.select("page_id", "src", "scope", "n_links", F.transform("_l", lambda x: x["dst"]).alias("links"))

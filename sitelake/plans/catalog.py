@@ -65,7 +65,7 @@ def described_pages(spark, sf_dir):
 
 
 # Cards put before the footer of every page: links to the pages (a*i+b) mod n that exist, each card with classes of its own.
-CARD_TARGETS = [(7, 1), (3, 2), (5, 3)]
+CARD_TARGETS = [(10, 1), (15, 2), (20, 3)]
 
 
 def shop_pages(spark, sf_dir):
@@ -222,8 +222,9 @@ def _visits_out(v, *extra):
 
 
 def frontier_breadth(spark, sf_dir):
-    """G2 over the pages' own links, every page a seed (reference limits)."""
-    pages = _pages(spark, sf_dir)
+    """G2 over the links of the pages with product cards, every page a seed (reference limits): two visits a seed, and
+    the links to pages that are not landed reported."""
+    pages = shop_pages(spark, sf_dir)
     edges = page_links(pages).select("src", "dst", "pos")
     seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
     v = crawl(edges, seeds, "breadth", max_depth=20, max_pages=2, include_external=False, pages=pages)
@@ -294,9 +295,12 @@ def sitemap_products(spark, sf_dir):
 
 
 def sitemap_diff(spark, sf_dir):
-    """Sitemap locs (canonical page URLs) against the landed URLs."""
+    """The sitemap lists two thirds of the pages, three quarters are crawled, some under another spelling of their URL."""
     pages = _urls(spark, sf_dir)
-    return _sitemap_diff(sitemap_urls(sitemaps_from_pages(pages)), pages)
+    shout = F.concat(F.upper(F.regexp_extract("url", "^([a-z]+://[^/?#]+)(.*)$", 1)),
+                     F.when(F.col("url").startswith("https:"), F.lit(":443")).otherwise(F.lit(":80")), F.regexp_extract("url", "^([a-z]+://[^/?#]+)(.*)$", 2))
+    crawled = pages.filter("page_id % 4 <> 1").select(F.when(F.col("page_id") % 5 == 0, shout).otherwise(F.col("url")).alias("url"))
+    return _sitemap_diff(sitemap_urls(sitemaps_from_pages(pages.filter("page_id % 3 <> 0"))), crawled)
 
 
 RUN_DATE = "2026-01-01"  # run date of the layer/artifact tables (an argument, never "now")
@@ -343,12 +347,12 @@ def artifact_binaries(spark, sf_dir):
 
 def page_rank(spark, sf_dir):
     """O1: PageRank (20 iterations, damping 0.85) over the links between landed pages."""
-    return R.page_rank(landed_edges(_pages(spark, sf_dir)))
+    return R.page_rank(landed_edges(_pages(spark, sf_dir))).select("url", F.round("rank", 12).alias("rank"))
 
 
 def orphan_pages(spark, sf_dir):
-    """O2: landed pages that no landed page links to."""
-    pages = _pages(spark, sf_dir)
+    """O2: landed pages that no card or link of a landed page leads to."""
+    pages = shop_pages(spark, sf_dir)
     return R.orphan_pages(pages, page_links(pages))
 
 
@@ -369,27 +373,26 @@ def hub_pages(spark, sf_dir):
 
 def broken_links(spark, sf_dir):
     """Internal links whose target is not a landed page."""
-    pages = _pages(spark, sf_dir)
+    pages = shop_pages(spark, sf_dir)
     b = R.broken_links(page_links(pages), pages)
     return b.select("page_id", F.col("pos").cast("long").alias("pos"), "dst")
 
 
 def seo_summary(spark, sf_dir):
     """O7 + O8: per-domain coverage of SEO signals and the weighted score."""
-    pages = _pages(spark, sf_dir)
-    nodes = shred(pages)
+    pages = described_pages(spark, sf_dir)
     e = page_links(pages)
     landed = pages.select(F.col("url").alias("dst")).distinct().withColumn("_l", F.lit(True))
     e = e.join(landed, "dst", "left").withColumn("broken", (F.col("scope") == "internal") & F.col("_l").isNull())
-    s = R.seo_summary(R.seo_signals(nodes), e)
+    s = R.seo_summary(R.seo_signals(pages), e)
     return s.select("domain", "n_pages", "title", "one_h1", "meta_description", "canonical", "noindex",
                     F.col("n_internal_links").cast("long").alias("n_internal_links"),
                     F.col("n_broken_links").cast("long").alias("n_broken_links"), "links_ok", "seo_score")
 
 
 def tech_fingerprint(spark, sf_dir):
-    """Technologies detected per page by the regex rule list."""
-    return R.tech_fingerprint(_pages(spark, sf_dir))
+    """Technologies per page by rules over the html and over meta, script and link elements."""
+    return R.tech_fingerprint(described_pages(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -137,6 +137,9 @@ def write_sitemap_docs(docs: DataFrame, path: str) -> None:
 
 
 def write_link_lists(lists: DataFrame, path: str) -> None:
-    """G5 lists (page_id, scope, n_links, links) as JSON lines per site and scope
-    (the all / internal / external files of the layout comment)."""
+    """G5 lists (page_id, src, scope, n_links, links) as JSON lines per site and scope
+    (the all / internal / external files of the layout comment). The site is that of ``src``,
+    unless the lists name their ``domain``."""
+    if "domain" not in lists.columns:
+        lists = lists.withColumn("domain", domain(F.col("src")))
     _replace(lists, "domain", "scope").json(path)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import domain
+from ..functions.urls import domain, with_canonical_url
 
 # Sitemap protocol namespace and its per-file URL limit.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -140,9 +140,9 @@ def sample_candidates(urls: DataFrame, n: int = 1, seed: int = 0, col: str = "ur
 
 
 def sitemap_diff(sitemap_locs: DataFrame, crawled: DataFrame, loc_col: str = "loc", url_col: str = "url") -> DataFrame:
-    """URLs in the sitemap, crawled, or both (full outer join with a side flag)."""
-    a = sitemap_locs.select(F.col(loc_col).alias("url")).distinct().withColumn("_s", F.lit(True))
-    b = crawled.select(F.col(url_col).alias("url")).distinct().withColumn("_c", F.lit(True))
+    """Canonical URLs in the sitemap, crawled, or both (full outer join with a side flag)."""
+    a = with_canonical_url(sitemap_locs.select(F.col(loc_col).alias("url")), "url", "url").distinct().withColumn("_s", F.lit(True))
+    b = with_canonical_url(crawled.select(F.col(url_col).alias("url")), "url", "url").distinct().withColumn("_c", F.lit(True))
     j = a.join(b, "url", "full_outer")
     s, c = F.col("_s").isNotNull(), F.col("_c").isNotNull()
     side = F.when(s & c, "both").when(s, "sitemap_only").otherwise("crawled_only")

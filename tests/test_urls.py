@@ -49,3 +49,20 @@ def test_absolute_link_and_run_date(spark):
                     U.run_date(F.to_timestamp("ts")).alias("ist")).collect()
     assert out[0].a == "https://a.com/p" and out[1].a == "http://x/y"
     assert str(out[0].ist) == "2024-01-02" and str(out[1].ist) == "2024-01-01"
+
+
+def test_canonical_url(spark):
+    from sitelake.functions.urls import with_canonical_url
+
+    cases = [
+        ("HTTP://Ex.COM:80/a/../b/./c?x=1#top", "http://ex.com/b/c?x=1"), ("https://ex.com:443", "https://ex.com/"), ("https://ex.com:8443/", "https://ex.com:8443/"),
+        ("http://ex.com?", "http://ex.com/"), ("http://ex.com/%7euser/%2fx%c3%a9%zz%", "http://ex.com/~user/%2Fx%C3%A9%zz%"), ("http://U:p@Ex.com/A", "http://U:p@ex.com/A"),
+        ("http://ex.com/a/..", "http://ex.com/"), ("http://ex.com/../../a/.", "http://ex.com/a/"), ("http://[::1]:80/x", "http://[::1]/x"), ("http://ex.com:/x", "http://ex.com/x"),
+        ("http://ex.com/a//b/", "http://ex.com/a//b/"), ("http://ex.com/%2e%2E/x?q=%41%2f#f#g", "http://ex.com/x?q=A%2F"), ("mailto:A@b.c#x", "mailto:A@b.c"), ("/rel/../x#f", "/rel/../x"),
+        ("", ""), (None, None), ("ftp://h:21/x", "ftp://h:21/x"),
+    ]
+    df = spark.createDataFrame([(i, u, "kept") for i, (u, _) in enumerate(cases)], "i int, url string, _c_out2 string")
+    got = {r.i: r.c for r in with_canonical_url(df, "url", "c").collect()}
+    assert [got[i] for i in range(len(cases))] == [c for _, c in cases]
+    again = with_canonical_url(with_canonical_url(df, "url", "c"), "c", "d")
+    assert again.columns == ["i", "url", "_c_out2", "c", "d"] and again.filter("c <> d").collect() == []
