@@ -230,3 +230,25 @@ def test_a_short_phrase_does_not_hide_a_passage():
     pos, other = [*range(10), 200, 222], [*range(1000, 1010), 300, 322]
     spans = [(c[0][0], c[-1][0] + c[-1][2]) for c in substring_dedup.chains(np.array(pos), np.array(other))]
     assert any(a == 200 and b > 222 for a, b in spans), spans
+
+
+def test_one_text_stands_for_its_copies(spark, docs):
+    rng = random.Random(8)
+    passage = text_of(rng, 70, "p")
+    whole = " ".join(text_of(rng, 40, "a") + passage)
+    rows = [(i, whole if i % 2 else whole.upper()) for i in range(40)] + [(100, " ".join(text_of(rng, 30, "z") + passage)), (101, "short copy"), (102, "short copy")]
+    got = substring_dedup.repeated_passages(docs(rows)).collect()
+    ids = {r["doc_id"] for r in got if r["identity"] == 1.0 and r["n_words"] == 110 and r["start_word"] == r["other_start_word"] == 0}
+    stands = {r["other_id"] for r in got if r["n_words"] == 110}
+    assert len(ids) == 39 and len(stands) == 1 and ids | stands == set(range(40))
+    rest = [r for r in got if r["n_words"] != 110]
+    assert len(rest) == 1 and {rest[0]["doc_id"], rest[0]["other_id"]} == stands | {100} and rest[0]["n_words"] >= 70
+
+
+def test_stretches_that_go_in_circles_are_one_passage(spark, docs):
+    rng = random.Random(9)
+    rows = [(i, " ".join(text_of(rng, 30, f"x{i}") + ["tick", "tock"] * (150 + 7 * i) + text_of(rng, 30, f"y{i}"))) for i in range(5)]
+    got = substring_dedup.repeated_passages(docs(rows)).collect()
+    pairs = {(r["doc_id"], r["other_id"]) for r in got}
+    assert len({frozenset(p) for p in pairs}) == 10 and len(got) <= 2 * len(pairs)
+    assert all(r["n_words"] >= 290 for r in got if (r["doc_id"], r["other_id"]) in pairs and r["start_word"] <= 31)
