@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import absolute_link
+from ..sources.sitemaps import numbered
 from .links import resolve_hrefs
 from .select import GLOBAL, match
 
@@ -101,8 +102,18 @@ def missing_selectors(pages: DataFrame, selectors: DataFrame, kind: str = "produ
 def with_progress(df: DataFrame, group: str, order: str) -> DataFrame:
     """``idx`` (1-based) and ``n`` per group in ``order`` - the reference's "i of n".
 
-    Meant for bounded groups (the URLs of one listing page or one sitemap file).
+    For bounded groups (the URLs of one listing page or one sitemap file); ``with_site_progress`` numbers whole sites.
     """
     w = Window.partitionBy(group).orderBy(order)
     return df.withColumn("idx", F.row_number().over(w)).withColumn(
         "n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+
+
+def with_site_progress(df: DataFrame, group: str, order: str) -> DataFrame:
+    """W1 for groups of any size: the columns of ``with_progress``; ``order`` is a number.
+
+    Rows are numbered within ranges of ``order`` and moved by the counts of the ranges before, so no task holds a group.
+    """
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = numbered(df, group, order).withColumnRenamed("n", "idx")
+    return counted.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).withColumnRenamed("_n", "n").drop("_group")

@@ -6,6 +6,7 @@ Every query reads the given parquet tables (mostly ``pages``) whole; parameters
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,21 +18,24 @@ from ..operators.extract import extract_fields, selectors_frame
 from ..operators.frontier import crawl, with_added_links
 from ..operators.links import first_occurrence, link_scope_lists, page_links
 from ..operators.candidates import candidate_cards as _candidate_cards, card_shapes as _card_shapes
-from ..operators.listing import bootstrap_product_page, extract_listing_links, missing_selectors as _missing_selectors
+from ..operators.listing import bootstrap_product_page, extract_listing_links, missing_selectors as _missing_selectors, with_site_progress
 from ..operators.render import page_markdown as _page_markdown, page_metadata as _page_metadata
 from ..plans.jobs import clean_pages, crawl_artifacts, listing_to_products
-from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors
+from ..operators.validate import pagination_links, selector_report as _selector_report, validate_selectors, variant_fields
 from ..operators.shred import shred
 from ..reports import site as R
-from ..sinks.writers import artifacts
+from ..session import ensure_checkpoint_dir
+from ..sinks.writers import artifacts, layer_fallback, page_layers, upsert_layers, write_selectors
 from ..sources.pages import read_page_urls, read_pages
-from ..sources.sitemaps import expand_index, sitemap_diff as _sitemap_diff, sitemap_urls, sitemaps_from_pages
+from ..sources.selectors import read_keywords, read_selectors, records_to_rows
+from ..sources.sitemaps import expand_index, sample_candidates, untried, sitemap_diff as _sitemap_diff, sitemap_urls, sitemaps_from_pages
 
 # Fixed parameters of the registered queries.
 FLAGSHIP_SELECTORS = {"title": "h1", "ad": ".ad", "footer": "footer"}
 LISTING_SELECTORS = {"product_card": "nav li", "product_link": "a", "pagination": ""}
 KEYWORDS = ["the", "and", "en"]
 SCORE_WEIGHT = 0.7
+SCORE_THRESHOLD = 0.2
 TOP_K = 3
 
 
@@ -140,6 +144,103 @@ def card_shapes(spark, sf_dir):
     return out.select("domain", "shape", "selector", "in_navigation", "n_pages", "n_cards", "rank")
 
 
+def _shared(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def selector_store(spark, sf_dir):
+    """K4 + S4 + F9: every site's records written as JSON files and read back, missing keys filled."""
+    path = _shared(spark, "selector-store")
+    write_selectors(site_selectors(_urls(spark, sf_dir)), path)
+    return read_selectors(spark, path).select("scope", "kind", "field", F.col("ord").cast("long").alias("ord"), "selector")
+
+
+# Answers as a language model may give them, by page number: the record's text with the site's name in it.
+RECORD_TEXTS = [
+    ("""'{"name":"h1 ' || domain || '","price":12,"brand":null}'""", [("name", "'h1 ' || domain"), ("price", "''"), ("brand", "''")]),
+    ("""'[{"name":"' || domain || '","x":"y"},{"name":"z"}]'""", [("name", "domain"), ("x", "'y'")]),
+    ("""'{broken ' || domain""", None),
+    ("""'{"size":" .s ","error":false,"list":["' || domain || '"]}'""", [("size", "' .s '"), ("error", "''"), ("list", "''")]),
+    ("""'[]' || substr(domain, 1, 0)""", None),
+]
+
+
+def normalized_records(spark, sf_dir):
+    """one answer per page, normalised: first of a list, non-strings emptied, missing keys filled, broken ones dropped."""
+    pages = _urls(spark, sf_dir).withColumn("domain", U.domain("url"))
+    text = F.coalesce(*[F.when(F.col("page_id") % len(RECORD_TEXTS) == i, F.expr(t)) for i, (t, _) in enumerate(RECORD_TEXTS)])
+    rows = records_to_rows(pages.select(F.col("page_id").cast("string").alias("scope"), F.lit("product").alias("kind"), text.alias("json")))
+    return rows.select(F.col("scope").cast("long").alias("page_id"), "field", F.col("ord").cast("long").alias("ord"), "selector")
+
+
+def keyword_lists(spark, sf_dir):
+    """The words of every page's title as a keyword list."""
+    titles = _pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("keywords"))
+    k = read_keywords(titles)
+    return k.select("page_id", F.size("keywords").cast("long").alias("n_keywords"), F.array_join("keywords", "\n").alias("keywords"))
+
+
+def layer_fallbacks(spark, sf_dir):
+    """K2: the clean copy, else the raw one, else none; a third of the pages lacks the clean copy, a fifth the raw one."""
+    pages = _pages(spark, sf_dir)
+    clean = F.when(F.col("page_id") % 3 != 0, T.exclude_tags(F.col("html"))).otherwise(F.lit(""))
+    raw = F.when(F.col("page_id") % 5 != 0, F.col("html"))
+    layers = pages.select("url", F.lit("clean").alias("layer"), clean.alias("html")).unionByName(pages.select("url", F.lit("raw").alias("layer"), raw.alias("html")))
+    return layer_fallback(layers).select("url", F.md5("html").alias("html_md5"))
+
+
+def layer_upserts(spark, sf_dir):
+    """W5 + K1: three landings of the pages merged one after the other: all, a newer half, and an older third once more."""
+    path = _shared(spark, "layers")
+    pages = _pages(spark, sf_dir)
+    for keep, at, mark in (("true", 1, ""), ("page_id % 2 = 0", 3, " newer"), ("page_id % 3 = 0", 2, " late"), ("page_id % 2 = 0", 3, " newer")):
+        batch = pages.filter(keep).select("page_id", "url", F.concat("html", F.lit(mark)).alias("html"))
+        upsert_layers(page_layers(batch, RUN_DATE).withColumn("landed_at", F.lit(at)), path)
+    t = spark.read.parquet(path)
+    return t.select("layer", "domain", "slug", "url", F.col("landed_at").cast("long").alias("landed_at"), F.md5("html").alias("html_md5"))
+
+
+def sitemap_sample(spark, sf_dir):
+    """Two candidate pages per site."""
+    return sample_candidates(_urls(spark, sf_dir).select("page_id", "url"), n=2, seed=7).select("domain", "page_id", "url")
+
+
+def untried_urls(spark, sf_dir):
+    """T2 + T3: the sitemap's URLs (listed twice) that are not among the tried ones."""
+    locs = sitemap_urls(sitemaps_from_pages(_urls(spark, sf_dir))).select(F.col("loc").alias("url"))
+    return untried(locs.unionByName(locs), _urls(spark, sf_dir).filter("page_id % 4 = 0"))
+
+
+def site_progress(spark, sf_dir):
+    """Every page's number among its site's, and their count."""
+    pages = _urls(spark, sf_dir).withColumn("domain", U.domain("url"))
+    return with_site_progress(pages, "domain", "page_id").select("page_id", "domain", F.col("idx").cast("long").alias("idx"), F.col("n").cast("long").alias("n"))
+
+
+def run_dates(spark, sf_dir):
+    """F8: events per run date (Asia/Kolkata)."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy(U.run_date("ts").cast("string").alias("run_date")).agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def variant_rules(spark, sf_dir):
+    """V9: size selectors kept only where the container holds two options or more; pages get none to three by number."""
+    box = F.concat(F.lit('<div class="sizes">'), F.expr("repeat('<li><button>x</button></li>', int(page_id % 4))"), F.lit("</div><footer>"))
+    pages = _pages(spark, sf_dir).select("page_id", "url", F.replace("html", F.lit("<footer>"), box).alias("html"))
+    record = pages.select("page_id", F.lit("").alias("scope"), F.lit(".sizes button").alias("size"), F.lit(".sizes").alias("size_container"))
+    v = variant_fields(shred(pages), record)
+    return v.select("page_id", F.col("n_options").cast("long").alias("n_options"), "size", "size_container")
+
+
+def scored_links(spark, sf_dir):
+    """P7 + F12: one level of a crawl that follows only links whose score reaches the threshold."""
+    pages = shop_pages(spark, sf_dir)
+    edges = page_links(pages).select("src", "dst", "pos")
+    seeds = pages.select(F.col("page_id").alias("seed_id"), "url")
+    v = crawl(edges, seeds, "breadth", max_depth=1, max_pages=50, include_external=True, keywords=KEYWORDS, weight=SCORE_WEIGHT, threshold=SCORE_THRESHOLD, pages=pages)
+    return v.filter("depth = 1").select("seed_id", "url", F.round("score", 9).alias("score"), "landed")
+
+
 def url_keys(spark, sf_dir):
     p = _urls(spark, sf_dir)
     return p.select("page_id", "url", U.domain("url").alias("domain"), U.domain_folder("url").alias("domain_folder"),
@@ -423,6 +524,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_selectors": missing_selectors,
     "bootstrap_pages": bootstrap_pages,
     "listing_products": listing_products,
+    "selector_store": selector_store,
+    "normalized_records": normalized_records,
+    "keyword_lists": keyword_lists,
+    "layer_fallbacks": layer_fallbacks,
+    "layer_upserts": layer_upserts,
+    "sitemap_sample": sitemap_sample,
+    "untried_urls": untried_urls,
+    "site_progress": site_progress,
+    "run_dates": run_dates,
+    "variant_rules": variant_rules,
+    "scored_links": scored_links,
     "artifact_long": artifact_long,
     "artifact_binaries": artifact_binaries,
     "page_rank": page_rank,

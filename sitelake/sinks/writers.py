@@ -13,6 +13,7 @@ from pyspark.sql.types import MapType
 
 from ..functions.text import exclude_tags
 from ..functions.urls import domain, domain_folder, page_folder, slug
+from ..session import materialize, release
 
 # Artifact kinds (folder names) and file extensions of a crawl result.
 ARTIFACT_KINDS = [("html", "html"), ("markdown", "md"), ("screenshots", "png"), ("metadata", "json"),
@@ -65,6 +66,30 @@ def last_write_wins(layers: DataFrame, ts_col: str = "landed_at") -> DataFrame:
     return layers.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 
+LAYER_PARTS = 16  # parts of a layer and date by key: a batch rewrites only the parts that its keys fall into
+
+
+def upsert_layers(batch: DataFrame, path: str, ts_col: str = "landed_at", parts: int = LAYER_PARTS) -> None:
+    """W5 + K1: merge a landing batch (layer, date, domain, slug, url, html and ``ts_col``) into the layer table at ``path``.
+
+    Per (layer, date, domain, slug) the row that landed last stays, so batches may come late, twice or in any order. The
+    table is partitioned by layer, date and part of the key. Only the partitions that the batch has keys in are read and
+    replaced; the merged rows are written to the shared folder before the old ones are touched, so a failed merge can be
+    run again. ``parts`` is fixed once a table exists.
+    """
+    spark = batch.sparkSession
+    part = F.pmod(F.xxhash64("domain", "slug"), F.lit(parts)).cast("int")
+    rows = batch.select("layer", "date", "domain", "slug", "url", "html", ts_col).withColumn("part", part)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        touched = rows.select("layer", "date", "part").distinct()  # prunes the partitions that are read
+        old = spark.read.parquet(path).withColumn("date", F.col("date").cast(rows.schema["date"].dataType))
+        rows = rows.unionByName(old.join(touched, ["layer", "date", "part"], "left_semi").select(*rows.columns))
+    merged = materialize(last_write_wins(rows, ts_col), "upsert")
+    _replace(merged, "layer", "date", "part", files=1).parquet(path)
+    release(merged)
+
+
 # -- K3: products CSV ------------------------------------------------------------
 
 def write_products_csv(products: DataFrame, path: str, fields: list[str], run_domain: str | None = None) -> None:

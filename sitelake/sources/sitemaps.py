@@ -132,8 +132,11 @@ def untried(candidates: DataFrame, tried: DataFrame, col: str = "url") -> DataFr
 
 
 def sample_candidates(urls: DataFrame, n: int = 1, seed: int = 0, col: str = "url") -> DataFrame:
-    """``n`` pseudo-random candidate URLs per site, reproducible (hash order, not rand())."""
-    k = F.xxhash64(F.col(col), F.lit(seed))
+    """``n`` pseudo-random candidate URLs per site, reproducible: those whose md5 with the seed comes first.
+
+    The rank's literal bound is a partial top-n: a task sends at most ``n`` rows of a site, however large the site.
+    """
+    k = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(col)))
     w = Window.partitionBy("domain").orderBy(k, col)
     return urls.withColumn("domain", domain(F.col(col))).withColumn("_r", F.row_number().over(w)) \
         .filter(F.col("_r") <= n).drop("_r")
