@@ -27,7 +27,6 @@ into a partial top-k before the shuffle, so a hot seed sends at most
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -35,9 +34,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyword_score
 from ..functions.urls import domain
-from ..session import ensure_checkpoint_dir, materialize, release
+from ..session import Bucketed, ensure_checkpoint_dir, materialize, release
 
-VISIT_COLS = ["seed_id", "seed_domain", "url", "depth", "parent", "path", "score", "landed"]
+VISIT_COLS = ["seed_id", "url", "depth", "parent", "path", "score", "landed"]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -47,63 +46,57 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _expand(frontier: DataFrame, edges: DataFrame, depth_of_new, include_external: bool, threshold) -> DataFrame:
     """Out-links of frontier visits as candidate visits, in id space (scope and score filters applied).
 
-    ``edges`` carries per target its domain id and keyword score, computed once per URL.
+    ``edges`` carries per target its keyword score and whether it has the domain of its source, computed once. A crawl
+    that stays inside visits only pages of the seed's domain, so a link that keeps its page's domain keeps the seed's.
     """
     c = frontier.alias("f").join(edges.alias("e"), F.col("f.url") == F.col("e.src"))
     if not include_external:
-        c = c.filter(F.col("e.d_dom") == F.col("f.seed_domain"))  # P6
+        c = c.filter("e.same_site")  # P6
     if threshold is not None:
         c = c.filter(F.col("e.d_score") >= F.lit(float(threshold)))  # P7
     return c.select(
-        F.col("f.seed_id").alias("seed_id"), F.col("f.seed_domain").alias("seed_domain"),
-        F.col("e.dst").alias("url"), depth_of_new.alias("depth"), F.col("f.url").alias("parent"),
+        F.col("f.seed_id").alias("seed_id"), F.col("e.dst").alias("url"), depth_of_new.alias("depth"), F.col("f.url").alias("parent"),
         F.concat(F.col("f.path"), F.array(F.col("e.pos").cast("int"))).alias("path"), F.col("e.d_score").alias("score"),
         F.col("e.d_landed").alias("landed"))
 
 
 def _first_per_url(c: DataFrame) -> DataFrame:
     """One candidate per (seed, url): the smallest (depth, path); partial aggregation before the shuffle."""
-    m = F.min(F.struct("depth", "path", "parent", "seed_domain", "score", "landed")).alias("m")
+    m = F.min(F.struct("depth", "path", "parent", "score", "landed")).alias("m")
     return c.groupBy("seed_id", "url").agg(m).select(
-        "seed_id", F.col("m.seed_domain").alias("seed_domain"), "url", F.col("m.depth").alias("depth"),
+        "seed_id", "url", F.col("m.depth").alias("depth"),
         F.col("m.parent").alias("parent"), F.col("m.path").alias("path"), F.col("m.score").alias("score"), F.col("m.landed").alias("landed"))
 
 
 class _Seen:
-    """(seed_id, url) pairs of a crawl so far, as a table bucketed by url in the shared folder, appended to level by level."""
+    """(seed_id, url) pairs of a crawl so far, bucketed by url and appended to level by level."""
 
     def __init__(self, first: DataFrame):
-        self.spark = first.sparkSession
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"crawl_seen_{uuid.uuid4().hex}"
-        kind = first.schema["seed_id"].dataType.simpleString()
-        self.path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/{self.name}"
-        self.spark.sql(f"CREATE TABLE {self.name} (seed_id {kind}, url BIGINT) USING parquet CLUSTERED BY (url) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        self.table = Bucketed(first.sparkSession, f"seed_id {first.schema['seed_id'].dataType.simpleString()}, url BIGINT", "url", "crawl_seen")
         self.add(first)
 
     def add(self, visits: DataFrame) -> None:
-        visits.select("seed_id", "url").repartition(self.buckets, "url").write.insertInto(self.name)
+        self.table.add(visits.select("seed_id", "url"))
 
     def new(self, candidates: DataFrame) -> DataFrame:
         """The candidates of pairs that are not in the table."""
-        self.spark.catalog.refreshTable(self.name)
-        had = self.spark.table(self.name).select(F.col("seed_id").alias("_seed"), F.col("url").alias("_url"))
-        dealt = candidates.repartition(self.buckets, "url")
+        had = self.table.rows().select(F.col("seed_id").alias("_seed"), F.col("url").alias("_url"))
+        dealt = candidates.repartition(self.table.buckets, "url")
         return dealt.join(had, (F.col("url") == F.col("_url")) & (F.col("seed_id") == F.col("_seed")), "left_anti")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE {self.name}")
-        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+        self.table.drop()
 
 
 def _id_space(edges: DataFrame, seeds: DataFrame, keywords, weight, filters, pages=None):
-    """Map URLs to 64-bit ids once: (ids, doms, id-edges, id-seeds).
+    """Map URLs to 64-bit ids once: (ids, id-edges, id-seeds).
 
-    Per URL: id, domain id, keyword score, the O11 filter flag and whether a page is landed
-    (without ``pages``: all are); so rounds move longs, and no string function runs per candidate.
+    Per URL: id, keyword score, the O11 filter flag and whether a page is landed (without ``pages``: all are); per edge
+    whether both ends have one domain. So rounds move longs, and no string function runs per candidate. URLs that very
+    many pages link to are hot only in the join that gives targets their ids, which AQE splits.
     """
-    e = materialize(edges.select("src", "dst", "pos"), "edges")  # read twice below: compute once
+    e = edges.select("src", "dst", "pos", (domain(F.col("src")) == domain(F.col("dst"))).alias("same_site"))
+    e = materialize(e, "edges")  # read twice below: compute once
     urls = e.select(F.col("src").alias("url")).union(e.select(F.col("dst").alias("url"))) \
         .union(seeds.select("url")).distinct()
     ok = reduce(lambda a, b: a & b, filters) if filters else F.lit(True)
@@ -112,29 +105,27 @@ def _id_space(edges: DataFrame, seeds: DataFrame, keywords, weight, filters, pag
     else:
         have = pages.select("url").distinct().withColumn("landed", F.lit(True))
         urls = urls.join(have, "url", "left").withColumn("landed", F.coalesce("landed", F.lit(False)))
-    ids = materialize(urls.select("url", "landed", F.monotonically_increasing_id().alias("uid"), domain(F.col("url")).alias("dom"),
-                                  keyword_score(F.col("url"), keywords or [], weight).alias("score"), ok.alias("ok")),
-                      "crawl_ids")
-    doms = materialize(ids.select("dom").distinct().withColumn("dom_id", F.monotonically_increasing_id()), "crawl_doms")
-    idx = ids.join(doms, "dom").select("url", "uid", "dom_id", "score", "ok", "landed")
-    src = idx.select(F.col("url").alias("src_url"), F.col("uid").alias("src"))
-    dst = idx.select(F.col("url").alias("dst_url"), F.col("uid").alias("dst"), F.col("dom_id").alias("d_dom"),
-                     F.col("score").alias("d_score"), F.col("ok").alias("d_ok"), F.col("landed").alias("d_landed"))
+    ids = materialize(urls.select("url", "landed", F.monotonically_increasing_id().alias("uid"),
+                                  keyword_score(F.col("url"), keywords or [], weight).alias("score"), ok.alias("ok")), "crawl_ids")
+    src = ids.select(F.col("url").alias("src_url"), F.col("uid").alias("src"))
+    dst = ids.select(F.col("url").alias("dst_url"), F.col("uid").alias("dst"), F.col("score").alias("d_score"), F.col("ok").alias("d_ok"),
+                     F.col("landed").alias("d_landed"))
     g = e.withColumnRenamed("src", "src_url").withColumnRenamed("dst", "dst_url") \
         .join(src, "src_url").join(dst, "dst_url").filter(F.col("d_ok"))  # O11 once per edge
-    g = materialize(g.select("src", "dst", "pos", "d_dom", "d_score", "d_landed"), "crawl_edges")
-    v0 = seeds.join(idx, "url").select(
-        "seed_id", F.col("dom_id").alias("seed_domain"), F.col("uid").alias("url"), F.lit(0).alias("depth"),
+    g = materialize(g.select("src", "dst", "pos", "same_site", "d_score", "d_landed"), "crawl_edges")
+    release(e)
+    v0 = seeds.join(ids, "url").select(
+        "seed_id", F.col("uid").alias("url"), F.lit(0).alias("depth"),
         F.lit(None).cast("long").alias("parent"), F.array().cast("array<int>").alias("path"), "score", "landed")
-    return ids, doms, g, materialize(v0, "crawl_seeds")
+    return ids, g, materialize(v0, "crawl_seeds")
 
 
-def _to_urls(visits: DataFrame, ids: DataFrame, doms: DataFrame) -> DataFrame:
-    """Back from id space: url, parent and seed domain as strings."""
+def _to_urls(visits: DataFrame, ids: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Back from id space: url and parent as strings, and the seed's domain."""
     u = ids.select(F.col("uid").alias("url"), F.col("url").alias("_url"))
     p = ids.select(F.col("uid").alias("parent"), F.col("url").alias("_parent"))
-    d = doms.select(F.col("dom_id").alias("seed_domain"), F.col("dom").alias("_dom"))
-    v = visits.join(u, "url").join(p, "parent", "left").join(d, "seed_domain")  # domains: unbounded, no hint
+    d = seeds.select("seed_id", domain(F.col("url")).alias("_dom"))
+    v = visits.join(u, "url").join(p, "parent", "left").join(d, "seed_id")
     return v.select("seed_id", F.col("_dom").alias("seed_domain"), F.col("_url").alias("url"), "depth",
                     F.col("_parent").alias("parent"), "path", "score", "landed", "visit_order")
 
@@ -163,7 +154,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
         filters.append(domain(F.col("url")).isin(*allowed_domains))
     if url_pattern:
         filters.append(F.col("url").rlike(url_pattern))
-    ids, doms, e, v0 = _id_space(edges, seeds, keywords, weight, filters, pages)
+    ids, e, v0 = _id_space(edges, seeds, keywords, weight, filters, pages)
     if threshold is not None and not keywords:
         threshold = None  # P7 applies only with a scorer
     if strategy == "best":
@@ -176,7 +167,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, strategy: str = "breadth", max_dep
         visits = _levels(e, v0, strategy, max_depth, max_pages, include_external, threshold)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    visits = _to_urls(visits, ids, doms)
+    visits = _to_urls(visits, ids, seeds)
     return visits if pages is not None else visits.drop("landed")
 
 
@@ -221,16 +212,15 @@ def _levels(e, v0, strategy, max_depth, max_pages, include_external, threshold):
 
 def _reach(g, v0, max_depth, include_external):
     """Shortest depth of every (seed, url id) within max_depth; only id pairs move between levels."""
-    cols = ["seed_id", "seed_domain", "url", "depth", "landed"]
+    cols = ["seed_id", "url", "depth", "landed"]
     parts = [v0.select(*cols)]
     frontier = parts[0]
     seen = _Seen(v0)
     for d in range(1, max_depth + 1):
-        c = frontier.join(g, frontier["url"] == g["src"]).select("seed_id", "seed_domain", F.col("dst").alias("url"),
-                                                                   "d_dom", F.col("d_landed").alias("landed"))
+        c = frontier.join(g, frontier["url"] == g["src"]).select("seed_id", F.col("dst").alias("url"), "same_site", F.col("d_landed").alias("landed"))
         if not include_external:
-            c = c.filter(F.col("d_dom") == F.col("seed_domain"))  # P6 on domain ids
-        new = seen.new(c.select("seed_id", "seed_domain", "url", "landed").dropDuplicates(["seed_id", "url"])).withColumn("depth", F.lit(d))
+            c = c.filter("same_site")  # P6
+        new = seen.new(c.select("seed_id", "url", "landed").dropDuplicates(["seed_id", "url"])).withColumn("depth", F.lit(d))
         new = materialize(new.select(*cols), "reach")
         frontier = new.filter("landed")
         if new.isEmpty():
@@ -241,7 +231,7 @@ def _reach(g, v0, max_depth, include_external):
         if d < max_depth:
             seen.add(new)
     seen.drop()
-    return _union(parts).select("seed_id", "seed_domain", "url", "depth", F.lit(None).cast("long").alias("parent"),
+    return _union(parts).select("seed_id", "url", "depth", F.lit(None).cast("long").alias("parent"),
                                 F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("double").alias("score"), "landed",
                                 F.lit(None).cast("int").alias("visit_order"))
 

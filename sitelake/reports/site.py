@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import with_canonical_url
 from ..operators.shred import _Shredder, page_elements
-from ..session import materialize, release
+from ..session import Bucketed, materialize, release
 
 # Technology rules. Public, well-known markers; extend by passing another list or table. Columns: name,
 # category, where to look (html: the raw page; meta: content of a meta tag; script: src; link: href), the meta tag's name
@@ -50,22 +50,27 @@ SEO_WEIGHTS = {"title": 0.25, "one_h1": 0.25, "meta_description": 0.2, "canonica
 def page_rank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
     """O1: PageRank over the URL graph, fixed iterations; dangling mass spread evenly.
 
-    URLs are mapped once to 64-bit ids, so every iteration shuffles longs. One join +
-    groupBy per iteration; lineage cut (materialize) every ``cut_every`` iterations
-    (each iteration reads the ranks twice, so an uncut plan doubles per iteration).
-    Columns: url, rank (sums to 1).
+    URLs are mapped once to 64-bit ids. The links are written once as a table bucketed by their source, with its
+    out-degree, so an iteration moves the ranks and the partial sums per target, never the links. A source's links are as
+    many as its page holds; a target that very many pages link to is summed per task before it meets in one, so no
+    hub is a task of its own. Lineage is cut (materialize) every ``cut_every`` iterations (each iteration reads the ranks
+    twice, so an uncut plan doubles per iteration). Columns: url, rank (sums to 1).
     """
+    spark = edges.sparkSession
     e0 = materialize(edges.select("src", "dst").distinct(), "pr_edges")
     ids = materialize(e0.select(F.col("src").alias("url")).union(e0.select(F.col("dst").alias("url"))).distinct()
                       .withColumn("uid", F.monotonically_increasing_id()), "pr_ids")
     n = ids.count()
     e = e0.join(ids.select(F.col("url").alias("src"), F.col("uid").alias("s")), "src") \
         .join(ids.select(F.col("url").alias("dst"), F.col("uid").alias("d")), "dst").select("s", "d")
-    outdeg = e.groupBy("s").agg(F.count(F.lit(1)).alias("deg"))
-    links = materialize(e.join(outdeg, "s"), "pr_links")
-    outdeg = materialize(outdeg, "pr_outdeg")
+    plain = materialize(e, "pr_plain")
+    outdeg = materialize(plain.groupBy("s").agg(F.count(F.lit(1)).alias("deg")), "pr_outdeg")
+    table = Bucketed(spark, "s BIGINT, d BIGINT, deg BIGINT", "s", "pr_links")
+    table.add(plain.join(outdeg, "s").select("s", "d", "deg"))
+    links = table.rows()
+    release(e0, plain)
     nodes = ids.select("uid")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
     last = None
     for i in range(1, iterations + 1):
         contrib = links.join(ranks.withColumnRenamed("uid", "s"), "s").groupBy("d").agg(
@@ -74,13 +79,15 @@ def page_rank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut
         m = ranks.join(outdeg.withColumnRenamed("s", "uid"), "uid", "left_anti").select(
             F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         ranks = nodes.join(contrib.withColumnRenamed("d", "uid"), "uid", "left").select(
-            "uid", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("c", F.lit(0.0)) + m / F.lit(float(n))))
+            "uid", (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * (F.coalesce("c", F.lit(0.0)) + m / F.lit(float(max(n, 1)))))
             .alias("rank"))
         if i % cut_every == 0 or i == iterations:
             old, ranks = last, materialize(ranks, "pr_ranks")
             last = ranks
             if old is not None:
                 release(old)
+    table.drop()
+    release(outdeg)
     return ranks.join(ids, "uid").select("url", "rank")
 
 

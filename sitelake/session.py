@@ -71,6 +71,31 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
+class Bucketed:
+    """A table bucketed by one column in the shared folder: appended to, joined on that column without moving, dropped at the end."""
+
+    def __init__(self, spark: SparkSession, schema: str, column: str, label: str):
+        import uuid
+
+        self.spark, self.column = spark, column
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"{label}_{uuid.uuid4().hex}"
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{self.name}"
+        spark.sql(f"CREATE TABLE {self.name} ({schema}) USING parquet CLUSTERED BY ({column}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+
+    def add(self, rows: DataFrame) -> None:
+        rows.repartition(self.buckets, self.column).write.insertInto(self.name)
+
+    def rows(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that no later plan reads (others are left alone)."""
     for df in tables:

@@ -92,3 +92,25 @@ def test_link_files_straight_from_the_links(spark, tmp_path):
     write_link_lists(link_scope_lists(page_links(pages)), str(tmp_path / "links"))
     back = {r.scope: (r.domain, r.links) for r in spark.read.json(str(tmp_path / "links")).collect()}
     assert back["all"] == ("a.com", ["http://a.com/2", "http://b.com/"]) and back["external"][1] == ["http://b.com/"]
+
+
+def test_page_rank_moves_no_links_and_splits_hubs(spark):
+    """A star: every page links to one hub. The links' table is joined where it lies, and the hub's mass is summed in parts."""
+    import sitelake.reports.site as R
+
+    n = 400
+    edges = spark.createDataFrame([(f"u{i}", "hub") for i in range(n)] + [("hub", "u0")], "src string, dst string")
+    plans = []
+    real = R.materialize
+    R.materialize = lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), real(df, label))[1]
+    try:
+        got = {r.url: r.rank for r in page_rank(edges, iterations=3).collect()}
+    finally:
+        R.materialize = real
+    assert abs(sum(got.values()) - 1) < 1e-9 and max(got, key=got.get) == "hub"
+    step = next(p for label, p in plans if label == "pr_ranks")
+    scan = step.index("pr_links_")
+    assert "partial_sum" in step and "Bucketed: true" in step[scan:]
+    between = step[: scan].rsplit("Join", 1)[1]
+    assert "Exchange" not in between  # nothing moves between the links and their join
+    assert page_rank(edges.limit(0), iterations=2).collect() == []
