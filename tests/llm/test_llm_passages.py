@@ -236,7 +236,7 @@ def test_one_text_stands_for_its_copies(spark, docs):
     rng = random.Random(8)
     passage = text_of(rng, 70, "p")
     whole = " ".join(text_of(rng, 40, "a") + passage)
-    rows = [(i, whole if i % 2 else whole.upper()) for i in range(40)] + [(100, " ".join(text_of(rng, 30, "z") + passage)), (101, "short copy"), (102, "short copy")]
+    rows = [(i, whole) for i in range(40)] + [(100, " ".join(text_of(rng, 30, "z") + passage)), (101, "short copy"), (102, "short copy")]
     got = substring_dedup.repeated_passages(docs(rows)).collect()
     ids = {r["doc_id"] for r in got if r["identity"] == 1.0 and r["n_words"] == 110 and r["start_word"] == r["other_start_word"] == 0}
     stands = {r["other_id"] for r in got if r["n_words"] == 110}
