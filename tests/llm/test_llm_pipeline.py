@@ -1,0 +1,81 @@
+"""The pipeline's stages on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
+
+import collections
+
+import corpus_pipeline as pipeline
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, ids string, digest string, copy int, mix_doc_id long, stay_id long, score double"
+LONG = " ".join(f"word{i % 997}" for i in range(60_000))
+NEAR = " ".join(f"n{i}" for i in range(80))
+ROWS = [
+    (1, "a plain text of several words here", "en", "s"), (1, "a plain text of several words here", "en", "s"), (2, "A PLAIN text of several words here", None, "s"),
+    (3, None, "en", None), (4, "", "en", "s"), (None, "no id at all in this row", "de", None), (None, "no id at all in this row", "de", None),
+    (5, LONG, "en", "t"), (6, NEAR, "fr", "t"), (7, NEAR + " tail", "fr", "t"), (8, "one", "en", "u"), (9, "stupid idiot", "en", "u"), (10, "tie a b c d", "en", "u"),
+    (11, "tie b c d e", "en", "u"),
+]
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    return lambda rows: spark.createDataFrame([(*r, 1, "x", "y", "z", 1, 2, 3, 0.5) for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("sf"))
+    bad = [(100 + i, 0, 1) for i in range(20)] + [(200 + i, 1, 0) for i in range(20)] + [(9, 0, 1), (None, 0, 1), (1, None, None)]
+    spark.createDataFrame(bad, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def texts(i):
+    return "stupid idiot people here" if i < 120 else "calm boat on the lake"
+
+
+def kept(df):
+    return collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def of(rows):
+    return collections.Counter((r[0], r[1]) for r in rows)
+
+
+def test_toxicity_stage(spark, frame, sf):
+    learn = [(100 + i, texts(i + 100), "en", "s") for i in range(20)] + [(200 + i, texts(i + 200), "en", "s") for i in range(20)]
+    out = pipeline.drop_toxic(spark, frame(ROWS + learn), sf)
+    assert out.columns == [f.split()[0] for f in SCHEMA.split(", ")]
+    assert kept(out) == of([r for r in ROWS if r[0] != 9] + learn[20:])
+    assert pipeline.drop_toxic(spark, frame([]), sf).collect() == []
+
+
+def test_exact_dedup_stage(spark, frame, sf):
+    out = pipeline.drop_copies(spark, frame(ROWS), sf)
+    # of 1, 1, 2 the largest id; of null and empty the larger id; of equal rows without id one
+    want = [r for i, r in enumerate(ROWS) if i not in (0, 1, 3, 6)]
+    assert kept(out) == of(want) and out.columns == frame([]).columns
+    assert pipeline.drop_copies(spark, frame([]), sf).collect() == []
+
+
+def test_near_dedup_stage(spark, frame, sf):
+    out = pipeline.drop_near_copies(spark, frame(ROWS), sf)
+    # 2 is linked with 1, 7 with 6; the repeated rows of 1 and those without an id stay
+    assert kept(out) == of([r for r in ROWS if r[0] not in (2, 7)])
+    assert pipeline.drop_near_copies(spark, frame([]), sf).collect() == []
+
+
+def test_mixing_stage(spark, frame, sf):
+    out = pipeline.mix_sources(spark, frame(ROWS), sf)
+    got, had = kept(out), of(ROWS)
+    assert set(got) <= set(had) and all(got[k] <= 2 * had[k] for k in got)
+    assert out.columns == frame([]).columns and pipeline.mix_sources(spark, frame([]), sf).collect() == []
+    assert kept(pipeline.mix_sources(spark, frame(ROWS), sf)) == got  # reruns agree
+
+
+def test_token_stage(spark, frame, sf):
+    out = pipeline.tokenize(spark, frame(ROWS), sf)
+    assert out.columns == ["doc_id", "lang", "source", "ids", "n_tokens"]
+    rows = out.collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(r[0] for r in ROWS)
+    assert all(len(r["ids"]) == r["n_tokens"] for r in rows) and {r["n_tokens"] for r in rows if r["doc_id"] in (3, 4)} == {0}
+    assert pipeline.tokenize(spark, frame([]), sf).collect() == []
