@@ -30,8 +30,8 @@ def read_html_files(spark: SparkSession, path: str, urls: DataFrame | None = Non
     (domain, slug, url), e.g. the crawl's own list, gives the exact URL. Without an entry there, and with ``url_from_path``,
     the url is ``https://<domain>/<slug>`` (no path for the slug ``root``); else it is the file path.
     """
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").option("recursiveFileLookup", True) \
-        .text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
+    df = spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", True) \
+        .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
     parts = F.split(F.col("file"), "/")
     layout = F.col("file").rlike(r"/[^/]+/html/[^/]+\.html$")
     df = df.withColumn("domain", F.when(layout, F.try_element_at(parts, F.lit(-3)))) \

@@ -57,7 +57,7 @@ def read_selectors(spark: SparkSession, root: str) -> DataFrame:
     ``<root>/<domain>/{product,listing}_selector.json`` is one record a file; ``<root>/domain=<d>/kind=<k>/part-*`` is what
     ``write_selectors`` (K4) writes, one record a line.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root) \
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True) \
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
     parts = F.split(F.col("path"), "/")
     fname = F.element_at(parts, -1)

@@ -25,14 +25,40 @@ def read_sitemap_files(spark: SparkSession, path: str, scheme: str = "https") ->
     Files under ``<root>/<domain>/<path>`` get the URL ``scheme://<domain>/<path>``, so an index finds its landed children;
     files directly under the root keep their file path.
     """
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    root = path.rstrip("/").rsplit("/", 1)[-1]
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     # what follows the last "/<root>/" in the file's path: domain/path
-    rest = F.substring_index(F.col("_metadata.file_path"), f"/{root}/", -1)
-    url = F.when(rest.contains("/"), F.concat(F.lit(f"{scheme}://"), rest)).otherwise(F.col("_metadata.file_path"))
+    url = _file_url(path, scheme)
     return df.select(url.alias("sitemap_url"), F.col("value").alias("xml"))
 
 
+def _file_url(path: str, scheme: str):
+    """URL of a landed sitemap file (see ``read_sitemap_files``)."""
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    rest = F.substring_index(F.col("_metadata.file_path"), f"/{root}/", -1)
+    return F.when(rest.contains("/"), F.concat(F.lit(f"{scheme}://"), rest)).otherwise(F.col("_metadata.file_path"))
+
+
+def read_sitemap_entries(spark: SparkSession, path: str, tag: str = "url", scheme: str = "https") -> DataFrame:
+    """S2 and S3 for files of any size: (sitemap_url, pos, loc) of the ``url`` or ``sitemap`` entries below ``path``.
+
+    The rows are those of ``sitemap_urls`` (``sitemap_children`` for ``tag="sitemap"``) over ``read_sitemap_files``, but a file
+    is read in splits, cut at the entries' end tags, and no document is one row. An entry's place is counted within its
+    split and moved by the entries of the file's splits before it. Tags must carry no namespace prefix.
+    """
+    raw = spark.read.option("lineSep", f"</{tag}>").option("recursiveFileLookup", True).text(path)
+    raw = raw.select(_file_url(path, scheme).alias("sitemap_url"), F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value")
+    body = F.regexp_extract("value", rf"(?s)<{tag}(?:\s[^>]*)?>(.*)$", 1)
+    entry = F.from_xml(F.concat(F.lit("<entry>"), body, F.lit("</entry>")), "loc string")
+    found = raw.filter(F.col("value").rlike(rf"<{tag}[\s>]")).select("sitemap_url", "_file", "_split", "_at", F.btrim(entry["loc"]).alias("loc"))
+    found = found.filter(F.col("loc").isNotNull() & (F.col("loc") != ""))
+    sizes = found.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_file", "_split", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_file", "_split").orderBy("_at"))
+    return found.withColumn("_n", within).join(sizes, ["_file", "_split"]).select("sitemap_url", (F.col("_before") + F.col("_n")).cast("int").alias("pos"), "loc")
+
+
 def _parsed(docs: DataFrame) -> DataFrame:
     return docs.select("sitemap_url", F.from_xml(F.col("xml"), _SCHEMA).alias("_p"))
 
