@@ -252,3 +252,12 @@ def test_stretches_that_go_in_circles_are_one_passage(spark, docs):
     pairs = {(r["doc_id"], r["other_id"]) for r in got}
     assert len({frozenset(p) for p in pairs}) == 10 and len(got) <= 2 * len(pairs)
     assert all(r["n_words"] >= 290 for r in got if (r["doc_id"], r["other_id"]) in pairs and r["start_word"] <= 31)
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(3)
+    for kind in ("u4", "i8"):
+        for n in (0, 1, 1000):
+            column = rng.integers(0, 2**32, n).astype(kind)
+            raw = b"x" * 8 + substring_dedup.packed(column) + b"rest"
+            assert substring_dedup.unpacked(raw, kind, n, 8).tolist() == column.tolist()
