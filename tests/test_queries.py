@@ -7,7 +7,7 @@ import pytest
 from oracle_check import digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["pages", "documents", "labels"]
+TABLES = ["pages", "documents", "labels", "benchmark", "events"]
 
 
 @pytest.fixture(scope="module")
