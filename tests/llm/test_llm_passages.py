@@ -55,6 +55,27 @@ def test_passage_cases(spark, docs):
     assert substring_dedup.repeated_passages(docs(rows).limit(0)).collect() == []
 
 
+def test_every_holder_of_a_passage_is_a_doc_id(spark, docs):
+    """Whichever of two texts is moved to the other, both have rows, with their own places."""
+    rng = random.Random(8)
+    passage = text_of(rng, 60, "p")
+    rows = [(i, " ".join(text_of(rng, 10 * i, f"a{i}x") + passage + text_of(rng, 20, f"b{i}x"))) for i in range(12)]
+    got = substring_dedup.repeated_passages(docs(rows), either=True).collect()
+    assert {r["doc_id"] for r in got} == set(range(12))
+    texts, pairs = dict(rows), {(r["doc_id"], r["other_id"]) for r in got}
+    assert pairs == {(b, a) for a, b in pairs}
+    for r in got:
+        assert (r["start_word"], r["end_word"], r["other_start_word"]) == (10 * r["doc_id"], 10 * r["doc_id"] + 60, 10 * r["other_id"])
+        assert texts[r["doc_id"]][r["start_char"] : r["end_char"]] == " ".join(passage)
+
+
+def test_long_stretches_meet_among_many_short_ones(spark, docs):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["he"] * (70 if i in (11, 37) else 20) + text_of(rng, 60, f"d{i}x"))) for i in range(48)]
+    got = substring_dedup.repeated_passages(docs(rows)).collect()
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in got} == {frozenset((11, 37))}
+
+
 def test_chain_takes_the_best_collinear_set():
     """The Fenwick chain scores as well as a quadratic search."""
     rng = random.Random(4)
