@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.llm.components import components
-from sitelake.llm.shared import WordHasher, cut, mix64, shingle_hashes
+from sitelake.llm.shared import WordHasher, cut, lean, mix64, shingle_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 3
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sequences, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "sequence", "bands"])
 
-    return thin.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, sequence binary, bands array<bigint>")
+    return thin.mapInArrow(lean(run), f"doc_id {id_type}, n_shingles bigint, sequence binary, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,7 +109,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                     sets.append(shingles.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return rows.mapInArrow(lean(run), "node bigint, shingles array<bigint>")
 
 
 def _numpy_sets(column: pa.ListArray) -> list[np.ndarray]:
@@ -149,7 +149,7 @@ def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if found:
                 yield _links(found)
 
-    return rows.mapInArrow(run, LINKS)
+    return rows.mapInArrow(lean(run), LINKS)
 
 
 # ---- signature tree of a tile -------------------------------------------------------------------------------
@@ -299,7 +299,7 @@ def tree_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFra
         if held and (found := done()):
             yield _links(found)
 
-    return full.mapInArrow(run, LINKS)
+    return full.mapInArrow(lean(run), LINKS)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.shared import cut, hash52
+from sitelake.llm.shared import cut, hash52, lean
 
 SAMPLE_PER_LABEL = 8_000  # labelled rows of each class that the classifier is fitted on, at most
 FEATURES = 2_000  # words and word beginnings that the classifier knows
@@ -87,7 +87,7 @@ def char_counts(texts: DataFrame, text_col: str = "text") -> dict[int, int]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["triple", "n"])
 
-    rows = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "triple bigint, n bigint")
+    rows = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "triple bigint, n bigint")
     return {r["triple"]: r["n"] for r in rows.groupBy("triple").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -299,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 n = pa.array([seen[toxic][f] for f in part], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic] * len(part), pa.int32()), n], ["feature", "toxic", "n"])
 
-    rows = train.mapInArrow(tally, "feature string, toxic int, n bigint").groupBy("feature").agg(
+    rows = train.mapInArrow(lean(tally), "feature string, toxic int, n bigint").groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"),
     )
@@ -323,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             fold = [zlib.crc32((t or "").encode()) % FOLDS for t in batch.column(1).to_pylist()]  # copies of a text share a fold
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fold, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "fold", "hits"])
 
-    table = train.mapInArrow(hits, "toxic int, fold int, hits array<int>").toArrow()
+    table = train.mapInArrow(lean(hits), "toxic int, fold int, hits array<int>").toArrow()
     toxic, fold, known = (table.column(c).to_pylist() for c in ("toxic", "fold", "hits"))
     weights, bias = logistic(toxic, known, len(names))
     bias -= balanced_cut(toxic, out_of_fold(toxic, known, fold, len(names)))
@@ -391,7 +391,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
             out = [score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    scored = thin.mapInArrow(run, f"doc_id {id_type}, score double")
+    scored = thin.mapInArrow(lean(run), f"doc_id {id_type}, score double")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -408,4 +408,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             keep = pa.array([score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -35,6 +35,16 @@ def same(codec, texts):
         assert codec.decode(mine) == LIBRARY.decode(theirs.ids, skip_special_tokens=False)
 
 
+def test_tables_travel_as_plain_data(codec):
+    """What tasks get needs neither the tokenizer file nor this package, and encodes alike."""
+    import pickle
+    import pickletools
+
+    sent = pickle.dumps(vars(codec.tables), 2)
+    assert not any("sitelake" in str(arg) for _, arg, _ in pickletools.genops(sent) if isinstance(arg, str))
+    same(bpe.BpeCodec(bpe.BpeTables.of(pickle.loads(sent))), ["Hello  world's<|endoftext|> x", "a" * 300, ""])
+
+
 def test_bpe_cases(codec):
     same(codec, ["", " ", "a" * 3000, "aaa  \n\n  b<|endoftext|> x<|endoftext|><|endoftext|> ", "日本語　x\x85y\x1cz​", "I'll we've 'S 12 ½ ١٢", "\x00 a b"])
 
