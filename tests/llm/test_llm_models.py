@@ -293,6 +293,60 @@ def test_lm_cases(spark, docs):
     assert lm.score_documents(docs(rows).limit(0), PATH).collect() == []
 
 
+def test_lm_splits_each_text_once(spark, docs, tmp_path, monkeypatch):
+    """Word lists, training and scores all come from one pass over the texts."""
+    log, split = str(tmp_path / "split"), lm.split_text
+
+    def logged(text):
+        with open(log, "a") as file:
+            file.write("x")
+        return split(text)
+
+    monkeypatch.setattr(lm, "split_text", logged)
+    rows = [(i, f"A b{i % 7} c") for i in range(30)] + [(30, None), (None, "b c"), (1, "A b1 c")]
+    assert len(lm.score_documents(docs(rows), PATH).collect()) == len(rows)
+    with open(log) as file:
+        assert len(file.read()) == len(rows)
+
+
+def test_lm_word_lists(spark, docs):
+    rows = [(i, t) for i, t in enumerate(["b a", "a a é", None, "", "zq A", "b\x0bB"])] + [(None, "a"), (0, "b a")]
+    texts = lm.prepare(docs(rows).repartition(3), "doc_id", "text")
+    heads, parts = lm.Heads.from_file(PATH), 5
+    listed = lm.number_words(texts, heads, parts).localCheckpoint()
+    totals = lm.total_words(listed, parts).localCheckpoint()
+    assert listed.where("part is null").count() == len(rows)
+    blocks = listed.where("part is null").select("block").distinct().count()
+    assert blocks > 1 and listed.where("part is not null").count() <= blocks * parts
+
+    want, words = collections.Counter(), set()
+    for i, t in rows:
+        words |= set(lm.split_text(t))
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            want.update(lm.split_text(t))
+    pairs = totals.where("piece is null").collect()
+    assert {c for r in pairs for c in np.frombuffer(r["n"], np.uint8)} - {0} == set(want.values())
+    per_head = collections.defaultdict(lambda: [0, 0, 0])
+    for w, n in want.items():
+        for k, v in enumerate((n, 1, int(n == 1))):
+            per_head[heads.head(w)][k] += v
+    got = totals.where("piece is not null").groupBy("piece").sum("total", "distinct", "once").collect()
+    assert {r[0]: list(r[1:]) for r in got} == per_head
+    assert heads.all(sorted(words)).tolist() == [heads.head(w) for w in sorted(words)]
+
+
+def test_lm_scores_do_not_depend_on_blocks(real, monkeypatch):
+    rows, df = real
+    want = {r["doc_id"]: r for r in lm.score_documents(df, PATH).collect()}
+    monkeypatch.setattr(lm, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(lm, "TEXTS", 3)
+    monkeypatch.setattr(lm, "BEGINNINGS", 10)
+    for r in lm.score_documents(df, PATH).collect():
+        assert r[:5] == want[r["doc_id"]][:5]
+        assert abs(r["base_score"] - want[r["doc_id"]]["base_score"]) < 1e-9 * abs(r["base_score"])
+        assert abs(r["score"] - want[r["doc_id"]]["score"]) < 1e-5 * abs(r["score"])
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------
 
 
