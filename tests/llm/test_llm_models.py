@@ -270,6 +270,88 @@ def test_training_learns_context():
     assert trainer.model.log10_targets(x, y).mean() > before + 0.15
 
 
+def two_heads_of_a_class(n=3000):
+    """Ids, shares and class counts of a vocabulary of ``n`` heads, and two heads that share a class and its first group."""
+    counts = {h: 10_000 if h < lm.OWN_CLASSES else n - h for h in range(n - 200)}  # the last ones are in no training text
+    ids = lm.head_ids(counts, list(range(n)))
+    a = lm.OWN_CLASSES + 9
+    b = a + lm.SHARED_CLASSES
+    assert lm.class_of(a, {}) == lm.class_of(b, {})
+    mass = np.bincount(lm.class_of_ids(ids[1:]), weights=[counts.get(h, 0) for h in range(n)], minlength=lm.CLASSES)
+    return ids, lm.log_shares(ids, counts), mass, counts, a, b
+
+
+def test_every_head_is_an_event_of_its_own():
+    """Heads that share a class have ids and probabilities of their own; all of them sum to 1, and start with their shares of the corpus."""
+    ids, shares, mass, counts, a, b = two_heads_of_a_class()
+    assert len(set(ids.tolist())) == len(ids)
+    model = lm.Attention.start(mass, shares=shares)
+    model.p["out"][:-1] = 0
+    every = np.concatenate(([lm.END], ids)).astype(np.int32)
+    x = np.resize(ids[[a + 1, 1, b + 1, 2, 3000]], (1, 2 * lm.STEP)).astype(np.int32)
+
+    def all_probabilities():
+        return np.array([10 ** model.log10_targets(x, np.full((1, lm.STEP), i, dtype=np.int32)) for i in every])
+
+    start = all_probabilities()
+    assert np.allclose(start.sum(axis=0), 1, atol=1e-4)
+    assert np.allclose(start[1 + a + 1] / start[1 + b + 1], (counts[a] + 0.5) / (counts[b] + 0.5), rtol=1e-3)
+    rng = np.random.default_rng(5)
+    for name in ("out", *model.DEEP):
+        model.p[name][:] = rng.normal(0, 0.5, model.p[name].shape)
+    assert np.allclose(all_probabilities().sum(axis=0), 1, atol=1e-4)
+
+
+def test_gradient_of_heads_matches_differences():
+    ids, shares, mass, _, a, b = two_heads_of_a_class()
+    rng = np.random.default_rng(6)
+    model = lm.Attention.start(mass, shares=shares)
+    for name in model.DEEP:
+        model.p[name][:] = rng.normal(0, 0.3, model.p[name].shape)
+    texts = [rng.choice(ids[[a + 1, b + 1, 2, 1500, 2999, 0]], n) for n in (5, 40, 17)]
+    x, y, _ = lm.windows(texts)
+    gradient = model.gradient(x, y)
+
+    def loss(flat):
+        return -lm.Attention(flat, shares).log10_targets(x, y).sum() * math.log(10) / np.count_nonzero(y != lm.PAD)
+
+    some = np.flatnonzero(np.abs(gradient) > 1e-3)
+    for at in [*rng.choice(some, 100, replace=False), *rng.choice(len(gradient), 20, replace=False)]:
+        up, down = model.flat.copy(), model.flat.copy()
+        up[at] += 1e-2
+        down[at] -= 1e-2
+        assert abs(gradient[at] - (loss(up) - loss(down)) / 2e-2) < 5e-4
+
+
+def test_training_tells_heads_of_a_class_apart():
+    """One head follows word 1 and the other word 2, which two heads of one class could not before."""
+    ids, shares, mass, _, a, b = two_heads_of_a_class()
+    rng = np.random.default_rng(7)
+    pair = np.array([[ids[2], ids[a + 1]], [ids[3], ids[b + 1]]], dtype=np.int32)
+    trainer = lm.Trainer(lm.Attention.start(mass, shares=shares))
+    for _ in range(60):
+        trainer.texts([pair[rng.integers(0, 2, 20)].ravel() for _ in range(20)])
+    right, wrong = [pair[rng.integers(0, 2, 20)] for _ in range(2)], []
+    for text in right:
+        other = text.copy()
+        other[:, 1] = np.where(text[:, 1] == ids[a + 1], ids[b + 1], ids[a + 1])
+        wrong.append(other.ravel())
+    good, bad = (trainer.model.log10_targets(*lm.windows(t)[:2]).sum() for t in ([t.ravel() for t in right], wrong))
+    assert good > bad + 20  # 40 places
+
+
+def test_learned_heads_have_ids(spark, docs):
+    """What ``learn`` gives: an id for each head of the vocabulary, counts of each head."""
+    rows = [(i, f"boat a{i % 7} zebra żółw {'the ' * (i % 5)}") for i in range(40)]
+    heads = lm.Heads.from_file(PATH)
+    listed = lm.number_words(lm.prepare(docs(rows), "doc_id", "text"), heads, 3).localCheckpoint()
+    model = lm.learn(listed.where("part is null"), lm.total_words(listed, 3), heads)
+    known = sorted(heads.vocabulary.values())
+    assert len(set(model.ids[np.array(known) + 1].tolist())) == len(set(known))
+    want = collections.Counter(heads.head(w) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in lm.split_text(t))
+    assert {h: int(n) for h, n in enumerate(model.head_counts, -1) if n} == want
+
+
 def test_lm_base_scores_match_brute_force(spark, real):
     rows, df = real
     want = brute.base_scores(rows)
